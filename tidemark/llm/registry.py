@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import bpe, exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_bpe": bpe.op3_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
