@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash
+from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_bpe": bpe.op3_bpe,
     "op4_embedding_near_dedup": embedding_dedup.op4_embedding_near_dedup,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op4_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
+    "op7_chat_formatting": chat.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
