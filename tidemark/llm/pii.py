@@ -306,10 +306,12 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     tell = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    # The counts are of base spans; what the method adds is counted by itself.
+    count = lambda k: F.size(F.filter("spans", lambda s: (s["kind"] == k) & s["base"])).cast("long").alias(f"n_{k}")
     return got.select(
         "doc_id",
         *(count(k) for k in KINDS),
         F.sha2(tell(F.filter("spans", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"),
         tell(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
     )
