@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, pii, simhash
+from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, pii, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_bpe": bpe.op3_bpe,
     "op4_embedding_near_dedup": embedding_dedup.op4_embedding_near_dedup,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_pii": pii.op6_pii,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
