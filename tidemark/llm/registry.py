@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, lm, mixing, pii, quality, simhash
+from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, language_id, lm, mixing, pii, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_pii": pii.op6_pii,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_language_id": language_id.op8_language_id,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
