@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, batches, rows
+from tidemark.llm.common import arrow_map, batches, materialise, rows
 
 _DROP = b" \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1  # stands for a null id; real ids at this value sort with nulls
@@ -271,6 +271,25 @@ def exact_dedup(
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are named by id: a row without one cannot be named and stays, and of rows that repeat an id
+    with an equal text one stays.  Only the ids that go are joined to the rows, so that Spark can send
+    them to the rows where they are few.
+    """
+    found = materialise(exact_dedup(docs, id_col, text_col, **options))
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
+    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    again = again.select(F.col("doc_id").alias(id_col))
+    if again.isEmpty():
+        return out
+    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]", "")
+    twice = out.join(again, id_col, "left_semi").withColumn("_norm", norm).dropDuplicates([id_col, "_norm"])
+    return out.join(again, id_col, "left_anti").unionByName(twice.select(*docs.columns))
+
+
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -53,17 +53,21 @@ def water_fill(sizes: dict, weights: dict, most: float) -> dict:
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``doc_id, source, size, h``: words of the whole text and the hash digits of the id."""
-    ident = F.col(id_col).cast("string")
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(
             F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0)
         ).alias("size"),
-        F.substring(F.md5(F.coalesce(ident, F.lit("null")).cast("binary")), 1, DIGITS).alias("h"),
+        _digits(id_col).alias("h"),
     )
 
 
+def _digits(id_col: str):
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return F.substring(F.md5(ident.cast("binary")), 1, DIGITS)
+
+
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """``source, cut``: the hash prefix up to which (inclusive) documents fill ``budget`` best.
 
@@ -138,6 +142,39 @@ def mix(
     order (null last).  A document is taken ``times`` times, at most ``most``.  The totals of the
     sources (not of documents) go through the driver; more than ``most_sources`` is an error.
     """
+    plan, sizes = _plan(docs, weights, most, id_col, text_col, source_col, most_sources)
+    own = sizes.withColumnRenamed("source", "own")
+    return own.join(F.broadcast(plan), F.col("own").eqNullSafe(F.col("source"))).select(
+        "doc_id", "source", "size", "source_size", "target", _times().alias("times"), (F.col("size") * _times()).alias("taken")
+    )
+
+
+def take(
+    docs: DataFrame,
+    weights: tuple[float, ...] | dict = WEIGHTS,
+    most: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    most_sources: int = 100_000,
+) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Hashes and thresholds decide where the rows lie; no text is shuffled.
+    """
+    plan, _ = _plan(docs, weights, most, id_col, text_col, source_col, most_sources)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("own"), _digits(id_col).alias("h"))
+    taken = own.join(F.broadcast(plan), F.col("own").eqNullSafe(F.col("source"))).withColumn("times", _times())
+    return taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def _times():
+    more = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("inclusive"))
+    return F.col("times") + F.coalesce(more, F.lit(False)).cast("int")
+
+
+def _plan(docs, weights, most, id_col, text_col, source_col, most_sources) -> tuple[DataFrame, DataFrame]:
+    """Per source its size, target, whole times and cut; and the sizes of all rows (written)."""
     spark = docs.sparkSession
     sizes = materialise(word_counts(docs, id_col, text_col, source_col))
     totals = sizes.groupBy("source").agg(F.sum("size").alias("words")).limit(most_sources + 1)
@@ -154,24 +191,9 @@ def mix(
     plan = spark.createDataFrame(
         plan, "source string, source_size long, target double, times int, budget double"
     )
-    cuts = thresholds(sizes, plan.where("budget > 0").select("source", "budget"))
-    cuts = materialise(cuts)
-    plan = plan.join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
-    own = sizes.withColumnRenamed("source", "own")
-    more = F.coalesce(
-        (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("inclusive")),
-        F.lit(False),
-    ).cast("int")
-    times = F.col("times") + more
-    return own.join(F.broadcast(plan), F.col("own").eqNullSafe(F.col("source"))).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        times.alias("times"),
-        (F.col("size") * times).alias("taken"),
-    )
+    cuts = materialise(thresholds(sizes, plan.where("budget > 0").select("source", "budget")))
+    cuts = cuts.withColumnRenamed("source", "of")
+    return plan.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), sizes
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

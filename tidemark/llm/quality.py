@@ -39,6 +39,8 @@ BITS = 17
 SIZE = 1 << BITS
 _SLICES = 64
 _LAGS = 8
+#: N-grams of ratio one that are added to every text, so that a few do not reject a short text.
+PRIOR = np.array([32, 8])
 _CHUNK = 1 << 16
 
 
@@ -62,8 +64,9 @@ def grams(text: bytes | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield np.empty(0, np.uint32), pair
 
 
-def counts(texts: Iterable[bytes | None]) -> np.ndarray:
-    out = np.zeros((2, SIZE), np.int64)
+def counts(texts: Iterable[bytes | None], out: np.ndarray | None = None) -> np.ndarray:
+    """N-gram counts of the texts, added to ``out`` where it is given."""
+    out = np.zeros((2, SIZE), np.int64) if out is None else out
     for text in texts:
         for kind, codes in ((k, c) for pair in grams(text) for k, c in enumerate(pair)):
             if len(codes) > SIZE // 16:
@@ -87,13 +90,13 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 0.5) -> np.nd
 
 
 def weigh(text: bytes | None, ratio: np.ndarray) -> float:
-    """Mean log ratio of a text: the sum of its kinds' means."""
+    """Mean log ratio of a text: the sum of its kinds' means, shrunk for short texts."""
     total, n = np.zeros(2), np.zeros(2)
     for pair in grams(text):
         for kind, codes in enumerate(pair):
             total[kind] += float(ratio[kind][codes].sum(dtype=np.float64))
             n[kind] += len(codes)
-    return float((total / np.maximum(n, 1)).sum())
+    return float((total / (n + PRIOR)).sum())
 
 
 _COUNTS = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("sums", pa.binary())])
@@ -111,12 +114,8 @@ def _count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition one table of raw counts and, where rows are marked, one of target counts."""
     tables: dict[int, np.ndarray] = {}
     for text, target in rows(parts):
-        got = counts([text])
         for kind in (0, 1) if target else (0,):
-            if kind in tables:
-                tables[kind] += got
-            else:
-                tables[kind] = got.copy()
+            tables[kind] = counts([text], tables.get(kind))
     yield from _flush(tables)
 
 
@@ -232,6 +231,23 @@ def fit(
     return ratio, best_cut(np.array([r["weight"] for r in pairs]), good)
 
 
+def _keyed(column: str, id_col: str, sharpness: float, seed: int):
+    """Sharpened weight plus Gumbel noise from the id."""
+    share = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    return F.col(column) * F.lit(sharpness) - F.log(-F.log(share))
+
+
+def _resampled(docs, labels, fit_rows, sharpness, id_col, text_col, label_col, seed):
+    """Scores of all rows (written), the table of ratios, and the key of the last row that stays."""
+    ratio, cut = fit(docs, labels, fit_rows, id_col, text_col, label_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary"))
+    scored = materialise(
+        arrow_map(own, _weights(ratio), "doc_id long, weight double").withColumn("key", _keyed("weight", "doc_id", sharpness, seed))
+    )
+    k = scored.where(F.col("weight") >= F.lit(cut)).count()
+    return scored, ratio, top_k(scored, k)
+
+
 def resample(
     docs: DataFrame,
     labels: DataFrame,
@@ -243,16 +259,39 @@ def resample(
     seed: int = 3,
 ) -> DataFrame:
     """``doc_id, weight, key, kept``, one row per input row."""
-    ratio, cut = fit(docs, labels, fit_rows, id_col, text_col, label_col)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary"))
-    noise = -F.log(-F.log((F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))))
-    scored = materialise(
-        arrow_map(own, _weights(ratio), "doc_id long, weight double").withColumn(
-            "key", F.col("weight") * F.lit(sharpness) + noise
-        )
+    scored, _, last = _resampled(docs, labels, fit_rows, sharpness, id_col, text_col, label_col, seed)
+    return scored.withColumn("kept", F.col("key") >= F.lit(last))
+
+
+def keep_resampled(
+    docs: DataFrame,
+    labels: DataFrame,
+    fit_rows: int = 20_000,
+    sharpness: float = 400.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    seed: int = 3,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`resample` keeps, with all their columns.
+
+    Rows are weighed again where they lie, which costs less than to shuffle their texts to a join.
+    """
+    _, ratio, last = _resampled(docs, labels, fit_rows, sharpness, id_col, text_col, label_col, seed)
+    own = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
     )
-    k = scored.where(F.col("weight") >= F.lit(cut)).count()
-    return scored.withColumn("kept", F.col("key") >= F.lit(top_k(scored, k)))
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            weight = [weigh(t.as_py(), ratio) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), part.column("doc_id"), pa.array(weight, pa.float64())], names=["row", "doc_id", "weight"]
+            )
+
+    spec = f"row {own.schema['row'].dataType.simpleString()}, doc_id long, weight double"
+    keyed = arrow_map(own, run, spec).where(_keyed("weight", "doc_id", sharpness, seed) >= F.lit(last))
+    return keyed.select("row.*")
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

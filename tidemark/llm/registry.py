@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm import bpe, chat, embedding_dedup, exact_dedup, language_id, lm, mixing, pii, quality, simhash
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,

@@ -270,6 +270,16 @@ def near_dedup(
     return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the smallest id.
+
+    A row without an id cannot be named and stays.
+    """
+    found = near_dedup(docs, size, radius, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     got = near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select(
