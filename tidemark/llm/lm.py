@@ -358,28 +358,27 @@ def _solve(shard: int, held: list[tuple], strength: float, folder: Path) -> Iter
     for k, w in enumerate(ordered):
         place[names[w]] = k
     total = np.zeros(len(names), np.int64)
-    keys, sums = [], []
-    for _, own, counts, context, low, mine, _ in asked:
+    for _, own, counts, _, _, _, _ in asked:
         np.add.at(total, place[own], counts)
-        k = place[context].astype(np.uint64) << np.uint64(HASH) | low
-        keys.append(k[mine > 0])
-        sums.append(mine[mine > 0])
-    every, sums = np.concatenate(keys), np.concatenate(sums)
-    del keys
+    # All requests in one order: they are counted, and later looked up, in one pass over the trie.
+    every = np.concatenate([place[context].astype(np.uint64) << np.uint64(HASH) | low for _, _, _, context, low, _, _ in asked])
+    mine = np.concatenate([m for *_, m, _ in asked])
+    asked = [(block, own, len(context), told) for block, own, _, context, _, _, told in asked]
     order = np.argsort(every, kind="stable")
-    every, sums = every[order], sums[order]
-    new = np.ones(len(every), bool)
-    new[1:] = every[1:] != every[:-1]
+    every, mine = every[order], mine[order]
+    fits = mine > 0
+    keys, sums = every[fits], mine[fits].astype(np.int64)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
-    merged = np.add.reduceat(sums.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-    trie = Trie(folder, len(names), every[first], merged, strength)
-    del every, sums, order
-    known, tokens = int((total > 0).sum()), 0
-    for block, own, _, context, low, _, told in asked:
-        # Words come in order within a block, so its keys are sorted here as well.
-        found = trie.look_up(place[context].astype(np.uint64) << np.uint64(HASH) | low)
-        yield block, shard, _pack(total[place[own]], found), known, told
-        known = 0
+    trie = Trie(folder, len(names), keys[first], np.add.reduceat(sums, first) if len(first) else sums, strength)
+    del keys, sums, mine, fits, new
+    found = np.empty(len(every), np.uint16)
+    found[order] = trie.look_up(every)
+    known, at = int((total > 0).sum()), 0
+    for block, own, n, told in asked:
+        yield block, shard, _pack(total[place[own]], found[at : at + n]), known, told
+        known, at = 0, at + n
 
 
 _SCORES = pa.schema(
