@@ -78,21 +78,22 @@ class EliasFano:
         self.n = n = len(values)
         top = int(values[-1]) if n else 0
         self.width = max(0, (top // max(1, n)).bit_length() - 1)
-        high = (values >> np.uint64(self.width)).astype(np.int64)
-        place = high + np.arange(n)
-        upper = np.zeros((int(place[-1]) >> 3) + 1 if n else 1, np.uint8)
-        for at in range(0, n, 1 << 20):
-            p = place[at : at + (1 << 20)]
-            np.bitwise_or.at(upper, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        upper = np.zeros(((top >> self.width) + n >> 3) + 1, np.uint8)
         bits = np.zeros((n * self.width + 7) // 8 + 8, np.uint8)
-        low = values & np.uint64((1 << self.width) - 1)
-        spot = np.arange(n, dtype=np.int64) * self.width
-        for shift in range(0, self.width + 7, 8):
-            # Byte ``shift / 8`` of each low part, moved to its bit offset.
-            moved = (low << (spot & 7).astype(np.uint64)) >> np.uint64(shift)
-            np.bitwise_or.at(bits, (spot >> 3) + shift // 8, (moved & np.uint64(255)).astype(np.uint8))
+        starts = []
+        for at in range(0, n, 1 << 20):  # in pieces, so that no copy of the sequence is held
+            part = values[at : at + (1 << 20)]
+            place = (part >> np.uint64(self.width)).astype(np.int64) + np.arange(at, at + len(part))
+            np.bitwise_or.at(upper, place >> 3, (1 << (place & 7)).astype(np.uint8))
+            starts.append(place[:: self.STEP])
+            low = part & np.uint64((1 << self.width) - 1)
+            spot = np.arange(at, at + len(part), dtype=np.int64) * self.width
+            for shift in range(0, self.width + 7, 8):
+                # Byte ``shift / 8`` of each low part, moved to its bit offset.
+                moved = (low << (spot & 7).astype(np.uint64)) >> np.uint64(shift)
+                np.bitwise_or.at(bits, (spot >> 3) + shift // 8, (moved & np.uint64(255)).astype(np.uint8))
         self.upper, self.bits = _mapped(path.with_suffix(".hi"), upper), _mapped(path.with_suffix(".lo"), bits)
-        self.start = place[:: self.STEP].copy()
+        self.start = np.concatenate(starts) if starts else np.empty(0, np.int64)
         self.first = values[:: self.STEP].copy()
 
     def decode(self, chunk: int) -> np.ndarray:
@@ -154,13 +155,17 @@ class Trie:
 
     def __init__(self, folder: Path, contexts: int, keys: np.ndarray, counts: np.ndarray, strength: float) -> None:
         """``keys`` are sorted, unique ``context << HASH | successor``, counts their occurrences."""
-        context = (keys >> np.uint64(HASH)).astype(np.int64)
-        ends = np.searchsorted(context, np.arange(contexts), side="right")
-        total = np.bincount(context, weights=counts, minlength=contexts)
+        ends = np.searchsorted(keys, np.arange(1, contexts + 1, dtype=np.uint64) << np.uint64(HASH))
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        total = np.diff(upto[np.concatenate([[0], ends])])
+        del upto
         self.pointers = EliasFano(folder / "pointers", ends.astype(np.uint64))
         self.successors = EliasFano(folder / "successors", keys)
-        p = counts / (total[context] + strength)
-        self.probability = _mapped(folder / "probability", quantise(p) if len(p) else np.zeros(1, np.uint16))
+        codes = np.zeros(max(1, len(keys)), np.uint16)
+        for at in range(0, len(keys), 1 << 20):
+            context = (keys[at : at + (1 << 20)] >> np.uint64(HASH)).astype(np.int64)
+            codes[at : at + (1 << 20)] = quantise(counts[at : at + (1 << 20)] / (total[context] + strength))
+        self.probability = _mapped(folder / "probability", codes)
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """Probability codes for sorted ``context << HASH | successor``; 0 where absent.
@@ -168,6 +173,8 @@ class Trie:
         The successor's place is searched relative to its context: it must lie before the
         context's pointer and carry the key sought.
         """
+        if len(keys) > 1 << 20:
+            return np.concatenate([self.look_up(keys[at : at + (1 << 20)]) for at in range(0, len(keys), 1 << 20)])
         if not len(keys) or not self.successors.n:
             return np.zeros(len(keys), np.uint16)
         spot = self.successors.find(keys)
@@ -346,33 +353,40 @@ def _answer(strength: float):
 
 
 def _solve(shard: int, held: list[tuple], strength: float, folder: Path) -> Iterator[tuple]:
-    asked, names = [], {}
-    for block, _, payload, text, tokens in held:
+    names: dict[bytes, int] = {}
+    owns = []
+    for _, _, _, text, _ in held:
         words = zstandard.ZstdDecompressor().decompress(text).split(b"\n")
-        counts, fan, high, low, mine = _unpack(payload)
-        own = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
-        asked.append((block, own, counts, np.repeat(own, fan), high.astype(np.uint64) << np.uint64(32) | low, mine, tokens))
-    held.clear()
-    ordered = sorted(names)
+        owns.append(np.fromiter((names.setdefault(w, len(names)) for w in words), np.int32, len(words)))
     place = np.empty(len(names), np.int64)
-    for k, w in enumerate(ordered):
+    for k, w in enumerate(sorted(names)):
         place[names[w]] = k
-    total = np.zeros(len(names), np.int64)
-    for _, own, counts, _, _, _, _ in asked:
-        np.add.at(total, place[own], counts)
+    contexts = len(names)
+    del names
     # All requests in one order: they are counted, and later looked up, in one pass over the trie.
-    every = np.concatenate([place[context].astype(np.uint64) << np.uint64(HASH) | low for _, _, _, context, low, _, _ in asked])
-    mine = np.concatenate([m for *_, m, _ in asked])
-    asked = [(block, own, len(context), told) for block, own, _, context, _, _, told in asked]
+    total = np.zeros(contexts, np.int64)
+    keys, mine, asked = [], [], []
+    for own, (block, _, payload, _, told) in zip(owns, held, strict=True):
+        counts, fan, high, low, own_counts = _unpack(payload)
+        np.add.at(total, place[own], counts)
+        keys.append(np.repeat(place[own].astype(np.uint64), fan) << np.uint64(HASH) | high.astype(np.uint64) << np.uint64(32) | low)
+        mine.append(own_counts)
+        asked.append((block, own, len(low), told))
+    held.clear()
+    every, mine = np.concatenate(keys), np.concatenate(mine)
+    del keys
     order = np.argsort(every, kind="stable")
     every, mine = every[order], mine[order]
     fits = mine > 0
-    keys, sums = every[fits], mine[fits].astype(np.int64)
+    keys, sums = every[fits], mine[fits]
+    del mine, fits
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
-    trie = Trie(folder, len(names), keys[first], np.add.reduceat(sums, first) if len(first) else sums, strength)
-    del keys, sums, mine, fits, new
+    keys, sums = keys[first], np.add.reduceat(sums, first, dtype=np.int64) if len(first) else sums
+    del new, first
+    trie = Trie(folder, contexts, keys, sums, strength)
+    del keys, sums
     found = np.empty(len(every), np.uint16)
     found[order] = trie.look_up(every)
     known, at = int((total > 0).sum()), 0
@@ -403,22 +417,25 @@ def _score(n: int, v: int, strength: float):
             if len(counts) != len(short):
                 raise RuntimeError(f"block {block} is short of answers")
             del held, answers
-            known = counts[code]
-            p = (known + _ADD) / (n + _ADD * (v + 1))
             keys = _pair_keys(code, lengths, end[0], short)
-            unique, spot = np.unique(keys, return_inverse=True)
+            unique = np.unique(keys)
             if len(unique) != len(found):
                 raise RuntimeError(f"block {block} has answers to other texts")
-            before = counts[(keys >> np.uint64(HASH)).astype(np.int64)]
-            model = LEVELS[found[spot]] + strength / (before + strength) * p
             starts = np.cumsum(lengths) - lengths
-            base = np.add.reduceat(np.log10(p), starts)
-            score = np.add.reduceat(np.log10(model), starts)
-            seen = np.add.reduceat((known > 0).astype(np.int64), starts)
+            base, score, seen = (np.empty(len(code)) for _ in range(3))
+            for at in range(0, len(code), 1 << 18):  # in pieces, for the sake of memory
+                part = slice(at, at + (1 << 18))
+                known = counts[code[part]]
+                p = (known + _ADD) / (n + _ADD * (v + 1))
+                before = counts[(keys[part] >> np.uint64(HASH)).astype(np.int64)]
+                model = LEVELS[found[np.searchsorted(unique, keys[part])]] + strength / (before + strength) * p
+                base[part], score[part], seen[part] = np.log10(p), np.log10(model), known > 0
+            del keys, unique
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ident, mask=null.astype(bool)), pa.array(train == 0), pa.array(lengths), pa.array(seen),
-                    pa.array(base), pa.array(score),
+                    pa.array(ident, mask=null.astype(bool)), pa.array(train == 0), pa.array(lengths),
+                    pa.array(np.add.reduceat(seen, starts).astype(np.int64)),
+                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts)),
                 ],
                 schema=_SCORES,
             )
