@@ -16,8 +16,16 @@ Pairs are found without comparing everything with everything:
   looked at, and the maximum coordinate difference discards nearly all of it.
 * *Verification.*  Survivors are compared bit by bit.
 
-A bucket sends on a spanning forest of its matches, never all its pairs.  Buckets above ``most``
-rows (one tight cluster) are cut into chunks and each pair of chunks goes to a task of its own.
+A bucket sends on a spanning forest of its matches, never all its pairs: in a large bucket rows that
+are linked already are not compared with one another again.  Buckets above ``most`` rows (one tight
+cluster) are cut into chunks and each pair of chunks goes to a task of its own.
+
+:func:`near_dedup` links by a number of bits and finds every such pair.  :func:`similar_dedup` links by
+the similarity of the shingle sets, as told by fingerprints of 256 bits.  At a similarity of 0.8 some
+39 of 256 bits differ, which leaves few whole segments and nothing for coordinate differences to
+discard, so its tables are keyed by stable parts instead: in each of several groups of bits, the bit
+whose count is the most lopsided, and its side.  Their number is set for 99 of 100 pairs at the
+similarity asked for (more above it); pivots and verification are the same.
 
 Defined results.  A null text counts as empty; documents without words have fingerprint zero and
 are linked like any other.  Fewer words than a shingle make one shingle of them all.  Rows that
@@ -60,21 +68,97 @@ def _pivots(n: int) -> np.ndarray:
 PIVOTS = _pivots(16)
 
 
-def fingerprint(text: bytes | None, size: int = 4) -> int:
-    """Unsigned 64-bit SimHash of the ``size``-word shingles of UTF-8 ``text``, A-Z lowered."""
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """XXH64 of the ``size``-word shingles of UTF-8 ``text``, A-Z lowered, repeats included."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= size:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    n = len(words) - size + 1
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, _SLICE):
-        part = hashes[at : at + _SLICE].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - size + 1)
+
+
+def bit_counts(rows_: np.ndarray) -> np.ndarray:
+    """How many rows (of 64-bit words) have each bit set.
+
+    Three rows of weight 2^k become one of weight 2^k and one of weight 2^(k+1) by a carry-save
+    adder over whole words, until two or less are left of each weight.
+    """
+    out, weight = np.zeros(BITS * rows_.shape[1], np.int64), 0
+    while len(rows_):
+        carried = []
+        while len(rows_) > 2:
+            m = len(rows_) // 3
+            a, b, c = rows_[:m], rows_[m : 2 * m], rows_[2 * m : 3 * m]
+            odd = a ^ b
+            carried.append((a & b) | (odd & c))
+            rows_ = np.concatenate([odd ^ c, rows_[3 * m :]])
+        for row in rows_:
+            out += np.unpackbits(row.astype("<u8").view(np.uint8), bitorder="little").astype(np.int64) << weight
+        rows_ = np.concatenate(carried) if carried else rows_[:0]
+        weight += 1
+    return out
+
+
+def _counts(hashes: np.ndarray) -> np.ndarray:
+    """Set bits per place over rows of words, in slices."""
+    out = np.zeros(BITS * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), _SLICE):
+        part = hashes[at : at + _SLICE]
+        if len(part) > 8192:
+            out += bit_counts(part)
+        else:
+            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+            out += bits.sum(axis=0, dtype=np.int64)
+    return out
+
+
+def fingerprint(text: bytes | None, size: int = 4) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 without words."""
+    hashes = shingle_hashes(text, size)
+    ones = _counts(hashes[:, None])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+WORDS = 4  # of a wide fingerprint
+GROUP = 64  # bits from which a key takes the most lopsided one
+_AGREE = 0.445  # how often two sets of similarity 0.8 agree on that bit and its side
+
+
+def wide(text: bytes | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """A 256-bit SimHash (four words) and the lopsidedness of each bit."""
+    hashes = shingle_hashes(text, size)
+    lanes = hashes[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    lanes = (lanes ^ (lanes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    lanes = (lanes ^ (lanes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    tilt = 2 * _counts(lanes ^ (lanes >> np.uint64(31))) - len(hashes)
+    return np.packbits(tilt > 0, bitorder="little").view("<u8"), tilt
+
+
+def key_groups(parts: int) -> np.ndarray:
+    """Bit places of each table's ``parts`` groups, fixed; tables for 99 of 100 pairs."""
+    n = int(np.ceil(np.log(100) / _AGREE**parts))
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    return np.stack([[rng.permutation(BITS * WORDS)[:GROUP] for _ in range(parts)] for _ in range(n)])
+
+
+def lopsided_keys(tilt: np.ndarray, groups: np.ndarray) -> list[int]:
+    """A key per table: in each group the most lopsided bit's place and side."""
+    values = tilt[groups]
+    place = np.abs(values).argmax(axis=2)
+    side = np.take_along_axis(values, place[:, :, None], axis=2)[:, :, 0] > 0
+    code = 2 * place + side
+    shift = 7 * np.arange(groups.shape[1])
+    return (code << shift).sum(axis=1).tolist()
+
+
+def radius_of(similarity: float) -> int:
+    """Bits of 256 that may differ: two standard deviations above what is expected at a Jaccard
+    similarity of the shingle sets."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = BITS * WORDS
+    return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
 
 
 def _signed(x: int) -> int:
@@ -107,20 +191,37 @@ def tables(radius: int, n_keys: int, bucket: int = 64) -> list[int]:
     return [sum(c) for c in combinations(segments, b - radius)]
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (rows of words) to the reference fingerprints."""
+    w = fp.shape[1]
+    pivots = PIVOTS[: len(PIVOTS) // w * w].reshape(-1, w)
+    return np.stack([_distance(fp, p) for p in pivots], axis=1)
+
+
 def link_arrays(
-    bucket: np.ndarray, fp: np.ndarray, radius: int, cross: np.ndarray | None = None
+    bucket: np.ndarray, fp: np.ndarray, radius: int, cross: np.ndarray | None = None, large: int = 256
 ) -> np.ndarray:
     """Root index of each row under "same bucket and within ``radius`` bits".
 
-    ``bucket`` is sorted.  With ``cross``, only rows whose ``cross`` differs are compared, or all
-    if both sides of the bucket are one chunk (``cross`` < 0).
+    ``bucket`` is sorted; ``fp`` has a row of words each.  With ``cross``, only rows whose ``cross``
+    differs are compared, or all where it is below 0.
     """
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+    table = pivot_table(fp)
     order = np.lexsort((table[:, 0], bucket))
     bucket, fp, table = bucket[order], fp[order], table[order]
     side = None if cross is None else cross[order]
     root = np.arange(len(fp))
     left, step = np.arange(len(fp)), 0
+    if side is None:
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        sizes = np.diff(np.r_[starts, len(bucket)])
+        for k in np.flatnonzero(sizes > large):
+            _sweep(root, np.arange(starts[k], starts[k] + sizes[k]), fp, table, radius)
+        left = left[np.repeat(sizes <= large, sizes)]
     while len(left):
         step += 1
         left = left[left + step < len(fp)]
@@ -137,13 +238,36 @@ def link_arrays(
             gap = np.abs(table[a, first : first + 5] - table[b, first : first + 5]).max(axis=1)
             a, b = a[gap <= radius], b[gap <= radius]
         if len(a):
-            same = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            same = _distance(fp[a], fp[b]) <= radius
             _join(root, a[same], b[same])
     out = np.empty_like(root)
     out[order] = order[_flat(root)]
     return out
 
 
+def _sweep(root: np.ndarray, rest: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> None:
+    """Components of one large bucket, breadth first: a row that is reached is never compared with
+    another that was, so a tight cluster takes time in proportion to its size."""
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        todo = [first]
+        while todo and len(rest):
+            x = todo.pop()
+            lo, hi = np.searchsorted(table[rest, 0], [table[x, 0] - radius, table[x, 0] + radius + 1])
+            if lo == hi:
+                continue
+            window = rest[lo:hi]
+            near = np.abs(table[window] - table[x]).max(axis=1) <= radius
+            hit = np.zeros(len(rest), bool)
+            seen = np.flatnonzero(near)
+            hit[lo + seen] = _distance(fp[window[seen]], fp[x]) <= radius
+            if hit.any():
+                found = rest[hit]
+                root[found] = first
+                todo.extend(found.tolist())
+                rest = rest[~hit]
+
+
 def _flat(root: np.ndarray) -> np.ndarray:
     while True:
         up = root[root]
@@ -171,9 +295,13 @@ def _linker(radius: int, chunk: int = 1 << 17):
         for batch in parts:
             if not batch.num_rows:
                 continue
-            held.append(
-                np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            )
+            fp = batch.column(4)
+            if pa.types.is_binary(fp.type):
+                fp = np.frombuffer(b"".join(fp.to_pylist()), "<i8").reshape(batch.num_rows, -1).T
+            else:
+                fp = fp.to_numpy()[None, :]
+            other = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 3, 5)]
+            held.append(np.concatenate([np.stack(other), fp]))
             size += batch.num_rows
             if size >= chunk:
                 block = np.concatenate(held, axis=1)
@@ -195,8 +323,8 @@ def _linker(radius: int, chunk: int = 1 << 17):
         new[1:] = (block[:3, 1:] != block[:3, :-1]).any(axis=0)
         bucket = np.cumsum(new)
         cross = block[3] if (block[2] >= 0).any() else None
-        root = link_arrays(bucket, block[4].view(np.uint64), radius, cross)
-        rep = block[5]
+        root = link_arrays(bucket, np.ascontiguousarray(block[5:].T).view(np.uint64), radius, cross)
+        rep = block[4]
         away = np.flatnonzero(rep != rep[root])
         if len(away):
             yield pa.RecordBatch.from_arrays(
@@ -216,6 +344,11 @@ def links(classes: DataFrame, n_classes: int, radius: int = 4, most: int = 1 <<
         )
     )
     dealt = classes.select("fp", "rep", F.explode(keys).alias("k")).select("k.slot", "k.key", "fp", "rep")
+    return link_buckets(dealt, radius, most)
+
+
+def link_buckets(dealt: DataFrame, radius: int, most: int = 1 << 16) -> DataFrame:
+    """``a, b``: a spanning forest of the matches in each bucket ``(slot, key)`` of ``(fp, rep)``."""
     hot = dealt.groupBy("slot", "key").count().where(F.col("count") > most)
     hot = materialise(hot)
     none = F.lit(-1).cast("long")
@@ -270,12 +403,56 @@ def near_dedup(
     return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _wide_prints(size: int, groups: np.ndarray):
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple]:
+            for ident, text in rows(parts):
+                fp, tilt = wide(text, size)
+                yield ident, fp.tobytes(), lopsided_keys(tilt, groups)
+
+        yield from batches(records(), schema)
+
+    return run
+
+
+def similar_dedup(
+    docs: DataFrame,
+    size: int = 5,
+    similarity: float = 0.8,
+    bucket: int = 64,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``doc_id, fp, component_id``, one row per input row: texts linked whose ``size``-word shingle
+    sets are similar, by fingerprints of 256 bits.
+
+    The keys' length follows the number of rows, so that buckets of unrelated texts stay about
+    ``bucket`` rows.
+    """
+    n = docs.count()
+    parts = 1
+    while parts < 8 and n >> (7 * parts) > bucket:
+        parts += 1
+    own = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    prints = materialise(arrow_map(own, _wide_prints(size, key_groups(parts)), "doc_id long, fp binary, keys array<long>"))
+    classes = materialise(
+        prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+    )
+    dealt = classes.where("rep IS NOT NULL").select("fp", "rep", F.posexplode("keys").alias("slot", "key"))
+    found = components(link_buckets(dealt.select("slot", "key", "fp", "rep"), radius_of(similarity)))
+    owners = classes.join(found, F.col("rep") == F.col("node"), "left").select(
+        "fp", F.coalesce("component", "rep").alias("component_id")
+    )
+    return prints.select("doc_id", "fp").join(owners, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the smallest id.
 
     A row without an id cannot be named and stays.
     """
-    found = near_dedup(docs, size, radius, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
