@@ -42,34 +42,36 @@ def normalise(text: str | None) -> bytes:
 
 
 class _Node:
-    __slots__ = ("edges", "label", "owner", "weight")
+    __slots__ = ("edges", "label", "owner")
 
     def __init__(self, label: bytes) -> None:
         self.label = label
         self.edges: dict[int, _Node] = {}
         self.owner: list | None = None  # [-code points, id, rows]
-        self.weight = len(label)
 
 
 class OwnerTrie:
     """Compressed radix trie over bytes; terminal nodes hold ``[-code points, id, rows]``.
 
     ``insert`` keeps the smaller (-code points, id) pair and adds the rows.  ``owners`` yields
-    ``(key, owner)`` and empties the trie.  The trie holds about ``budget`` bytes of labels in
-    memory; subtrees over it wait in files under ``folder``.
+    ``(key, owner)`` and ends the trie.  The trie holds about ``budget`` bytes in memory; subtrees
+    over it wait in files under ``folder``.  ``head`` is what all keys are known to begin with; it is
+    not kept in the nodes.
     """
 
     _COST = 200  # bytes of a node besides its label
 
-    def __init__(self, budget: int = 64 << 20, folder: str | None = None, skip: int = 0) -> None:
+    def __init__(self, budget: int = 64 << 20, folder: str | None = None, head: bytes = b"") -> None:
         self.root = _Node(b"")
-        self.budget, self.folder, self.skip = budget, folder, skip
+        self.budget, self.folder, self.head = budget, folder, head
         self.held = 0
-        self.spilled: dict[int, tuple] = {}
+        self.spilled: dict[int, list] = {}  # by first byte: file name, open file, common beginning
 
     def insert(self, key: bytes, order: int, ident: int, count: int) -> None:
-        if len(key) > self.skip and key[self.skip] in self.spilled:
-            pickle.dump((key, order, ident, count), self.spilled[key[self.skip]][1])
+        if self.spilled and len(key) > len(self.head) and (away := self.spilled.get(key[len(self.head)])):
+            pickle.dump((key, order, ident, count), away[1])
+            if not key.startswith(away[2]):
+                away[2] = away[2][: _shared(key, 0, away[2])]
             return
         before = self.held
         self._put(key, order, ident, count)
@@ -77,9 +79,7 @@ class OwnerTrie:
             self._spill()
 
     def _put(self, key: bytes, order: int, ident: int, count: int) -> None:
-        node, at = self.root, self.skip if key else 0
-        if len(key) < self.skip:
-            raise ValueError("a key ends above this subtree")
+        node, at = self.root, len(self.head)
         while True:
             if at == len(key):
                 own = node.owner
@@ -111,16 +111,14 @@ class OwnerTrie:
 
     def _spill(self) -> None:
         """Move the heaviest subtree under the root to a file."""
-        if not self.root.edges:
-            return
         weigh = {b: self._weight(n) for b, n in self.root.edges.items()}
         byte = max(weigh, key=weigh.get)
+        node = self.root.edges.pop(byte)
         fd, path = tempfile.mkstemp(dir=self.folder, prefix="subtree-")
-        out = os.fdopen(fd, "w+b")
-        head = b"\0" * self.skip  # replaced below: the path above this trie is known to the keys
-        for key, own in self._walk(self.root.edges.pop(byte), head):
+        out = os.fdopen(fd, "wb")
+        for key, own in self._walk(node, self.head):
             pickle.dump((key, *own), out)
-        self.spilled[byte] = (path, out)
+        self.spilled[byte] = [path, out, self.head + node.label]
         self.held -= weigh[byte]
 
     def _weight(self, top: _Node) -> int:
@@ -141,24 +139,31 @@ class OwnerTrie:
                 yield path, node.owner
             todo.extend((n, path) for n in node.edges.values())
 
-    def owners(self, head: bytes = b"") -> Iterator[tuple[bytes, list]]:
-        """Every key with its owner; ``head`` is what all keys of this trie begin with."""
-        yield from self._walk(self.root, head[: self.skip])
-        self.root, self.held = _Node(b""), 0
-        for byte, (path, out) in self.spilled.items():
-            below = head[: self.skip] + bytes([byte])
-            inner = OwnerTrie(self.budget, self.folder, self.skip + 1)
-            out.seek(0)
-            while True:
-                try:
-                    key, order, ident, count = pickle.load(out)
-                except EOFError:
-                    break
-                inner.insert(below + key[len(below) :], order, ident, count)
+    def _end(self) -> list[tuple[str, bytes]]:
+        for _, out, _ in self.spilled.values():
             out.close()
+        return [(path, common) for path, _, common in self.spilled.values()]
+
+    def owners(self) -> Iterator[tuple[bytes, list]]:
+        """Every key with its owner.
+
+        A file is resolved by a trie of its own below what its keys begin with.  That trie either
+        branches at its root or ends a key there, so files get smaller with each round.
+        """
+        yield from self._walk(self.root, self.head)
+        todo = self._end()
+        while todo:
+            path, common = todo.pop()
+            inner = OwnerTrie(self.budget, self.folder, common)
+            with open(path, "rb") as f:
+                while True:
+                    try:
+                        inner.insert(*pickle.load(f))
+                    except EOFError:
+                        break
             os.unlink(path)
-            yield from inner.owners(below)
-        self.spilled = {}
+            yield from self._walk(inner.root, inner.head)
+            todo.extend(inner._end())
 
 
 def _shared(key: bytes, at: int, label: bytes) -> int:
