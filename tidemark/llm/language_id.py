@@ -169,10 +169,10 @@ def identify(
     tags = sorted({d for d, _ in said})
     by = [sum(c for (_, k), c in said.items() if k == i) for i in range(n)]
     odds = {d: [(said.get((d, i), 0) + 0.5) / (by[i] + 0.5 * max(1, len(tags))) for i in range(n)] for d in tags}
-    likely = F.coalesce(
-        F.create_map(*(x for d in tags for x in (F.lit(d), F.array(*map(F.lit, odds[d])))))[F.col("declared")],
-        F.array(*(F.lit(1.0) for _ in langs)),
-    )
+    likely = F.array(*(F.lit(1.0) for _ in langs))
+    if tags:
+        table = F.create_map(*(x for d in tags for x in (F.lit(d), F.array(*map(F.lit, odds[d])))))
+        likely = F.coalesce(table[F.col("declared")], likely)
     # Host tables, from the whole down to the host: one small row per host, then one join.
     whole = coded.agg(_sums(n).alias("s0"), F.count(F.lit(1)).cast("double").alias("n0")).head()
     hosts = coded.groupBy("host").agg(_sums(n).alias("sums"), F.count(F.lit(1)).cast("double").alias("pages"))
