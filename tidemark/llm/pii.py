@@ -138,9 +138,11 @@ _BRACKET = re.compile(
 )
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9_%+-]{0,62}[A-Za-z0-9])?"
 #: name at host dot tld, with plain words or real signs mixed.
+# Endings that make spoken words an address.
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|dev|app|eu|uk|us|ca|au|nz|ie|in|de|at|ch|fr|be|nl|es|pt|mx|ar|br|it|pl|se|no|dk|fi|ru|jp|cn|kr"
 _DOT = r"(?:\.|\s{1,8}dot\s{1,8})"
 _SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9]){_LABEL}(?:{_DOT}{_LABEL}){{0,3}}(?:\s{{1,8}}at\s{{1,8}}|\s{{0,8}}@\s{{0,8}}){_LABEL}(?:{_DOT}{_LABEL}){{1,4}}",
+    rf"(?<![A-Za-z0-9]){_LABEL}(?:{_DOT}{_LABEL}){{0,3}}(?:\s{{1,8}}at\s{{1,8}}|\s{{0,8}}@\s{{0,8}}){_LABEL}(?:{_DOT}{_LABEL}){{0,3}}{_DOT}(?:{_ENDS})(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
 _SIGN = re.compile(r"\s+(at|dot)\s+|\s*@\s*", re.IGNORECASE)
