@@ -137,15 +137,15 @@ def _weights(ratio: np.ndarray):
     return run
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
+def best_cut(weights: np.ndarray, good: np.ndarray, keep: float = 0.98) -> float:
     """The weight that parts good from bad rows with the best balanced accuracy, at the middle of
-    its gap."""
+    its gap, among those that keep at least the share ``keep`` of good rows."""
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
     bad_below = np.concatenate([[0], np.cumsum(~g)]) / max(1, (~g).sum())
     good_above = 1 - np.concatenate([[0], np.cumsum(g)]) / max(1, g.sum())
     whole = np.concatenate([[True], w[1:] > w[:-1], [True]])  # ties are not parted
-    value = np.where(whole, bad_below + good_above, -1)
+    value = np.where(whole & (good_above >= min(keep, good_above.max())), bad_below + good_above, -1)
     at = np.flatnonzero(value >= value.max() - 1e-12)[0]
     if at == 0:
         return float("-inf")
@@ -228,7 +228,8 @@ def fit(
     good = np.array([r["mark"] == 1 for r in pairs], bool)
     if not target.any() or good.all() or not good.any():
         return ratio, float("-inf")
-    return ratio, best_cut(np.array([r["weight"] for r in pairs]), good)
+    # A weight above 0 speaks for the target model: no cut rejects it, nor a text without evidence.
+    return ratio, min(0.0, best_cut(np.array([r["weight"] for r in pairs]), good))
 
 
 def _keyed(column: str, id_col: str, sharpness: float, seed: int):
