@@ -121,8 +121,8 @@ class EliasFano:
         if not self.n:
             out[:] = 0
             return out
-        # An element equal to the first of a chunk is found there; smaller ones before it.
-        chunk = np.maximum(np.searchsorted(self.first, keys, side="right") - 1, 0)
+        # The last chunk that begins below the key has it, or ends just before it.
+        chunk = np.maximum(np.searchsorted(self.first, keys) - 1, 0)
         at = 0
         while at < len(keys):
             c = int(chunk[at])
@@ -283,14 +283,22 @@ class _Block:
 
 
 def pairs(code, lengths, end, short, fits) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted unique ``context << HASH | successor`` keys and their training counts."""
+    """Sorted unique ``context << HASH | successor`` keys and their training counts.
+
+    The training mark rides in the lowest bit, so that one sort in place does for both; a block has
+    far fewer than 2^23 words, which leaves that bit free.
+    """
     keys = _pair_keys(code, lengths, end, short)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys <<= np.uint64(1)
+    keys |= fits
+    keys.sort()
     new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
+    np.not_equal(keys[1:] >> np.uint64(1), keys[:-1] >> np.uint64(1), out=new[1:])
     first = np.flatnonzero(new)
-    return keys[first], np.add.reduceat(fits[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+    if not len(first):
+        return keys, np.empty(0, np.uint32)
+    marks = (keys & np.uint64(1)).astype(np.uint32)
+    return keys[first] >> np.uint64(1), np.add.reduceat(marks, first)
 
 
 def _pair_keys(code, lengths, end, short) -> np.ndarray:
@@ -365,17 +373,21 @@ def _solve(shard: int, held: list[tuple], strength: float, folder: Path) -> Iter
     del names
     # All requests in one order: they are counted, and later looked up, in one pass over the trie.
     total = np.zeros(contexts, np.int64)
-    keys, mine, asked = [], [], []
-    for own, (block, _, payload, _, told) in zip(owns, held, strict=True):
+    n = sum(len(_unpack(payload)[3]) for _, _, payload, _, _ in held)
+    every, mine, asked, at = np.empty(n, np.uint64), np.empty(n, np.uint32), [], 0
+    for own in owns:
+        block, _, payload, _, told = held.pop(0)
         counts, fan, high, low, own_counts = _unpack(payload)
         np.add.at(total, place[own], counts)
-        keys.append(np.repeat(place[own].astype(np.uint64), fan) << np.uint64(HASH) | high.astype(np.uint64) << np.uint64(32) | low)
-        mine.append(own_counts)
+        part = every[at : at + len(low)]
+        part[:] = np.repeat(place[own].astype(np.uint64), fan)
+        part <<= np.uint64(HASH)
+        part |= high.astype(np.uint64) << np.uint64(32)
+        part |= low
+        mine[at : at + len(low)] = own_counts
+        at += len(low)
         asked.append((block, own, len(low), told))
-    held.clear()
-    every, mine = np.concatenate(keys), np.concatenate(mine)
-    del keys
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every, mine = every[order], mine[order]
     fits = mine > 0
     keys, sums = every[fits], mine[fits]
@@ -418,9 +430,14 @@ def _score(n: int, v: int, strength: float):
                 raise RuntimeError(f"block {block} is short of answers")
             del held, answers
             keys = _pair_keys(code, lengths, end[0], short)
-            unique = np.unique(keys)
-            if len(unique) != len(found):
+            order = np.argsort(keys)
+            new = np.ones(len(keys), bool)
+            np.not_equal(keys[order[1:]], keys[order[:-1]], out=new[1:])
+            spot = np.empty(len(keys), np.int32)
+            spot[order] = np.cumsum(new, dtype=np.int32) - 1
+            if spot[order[-1]] + 1 != len(found):
                 raise RuntimeError(f"block {block} has answers to other texts")
+            del order, new
             starts = np.cumsum(lengths) - lengths
             base, score, seen = (np.empty(len(code)) for _ in range(3))
             for at in range(0, len(code), 1 << 18):  # in pieces, for the sake of memory
@@ -428,9 +445,9 @@ def _score(n: int, v: int, strength: float):
                 known = counts[code[part]]
                 p = (known + _ADD) / (n + _ADD * (v + 1))
                 before = counts[(keys[part] >> np.uint64(HASH)).astype(np.int64)]
-                model = LEVELS[found[np.searchsorted(unique, keys[part])]] + strength / (before + strength) * p
+                model = LEVELS[found[spot[part]]] + strength / (before + strength) * p
                 base[part], score[part], seen[part] = np.log10(p), np.log10(model), known > 0
-            del keys, unique
+            del keys, spot
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ident, mask=null.astype(bool)), pa.array(train == 0), pa.array(lengths),
@@ -448,7 +465,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     strength: float = 200.0,
-    block: int = 1 << 21,
+    block: int = 3 << 19,
     shards: int | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, a row per row.
