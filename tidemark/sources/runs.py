@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CODECS = ("snappy", "zstd", "lz4", "gzip", "uncompressed")
@@ -19,8 +19,10 @@ def write_run(
     compression: str = "zstd",
     bloom_error: float | None = 0.05,
     n_keys: int | None = None,
-) -> None:
-    """Write ``(key, seq, value)`` rows as one run.
+) -> dict:
+    """Write ``(key, seq, value)`` rows as one run; returns ``lo, hi, n, min_seq, max_seq``.
+
+    The statistics are observed while the rows pass to the writer, so nothing is read again.
 
     Files hold disjoint key ranges, rows in a file are sorted by key, so that footers, page indexes
     and Bloom filters let a reader skip what a key or range cannot be in.
@@ -28,9 +30,17 @@ def write_run(
     if compression not in CODECS:
         raise ValueError(f"unknown codec {compression}")
     dealt = rows.repartitionByRange(partitions, column) if partitions else rows.repartitionByRange(column)
+    seen = Observation()
+    watched = dealt.sortWithinPartitions(column, F.desc("seq")).observe(
+        seen,
+        F.min(column).alias("lo"),
+        F.max(column).alias("hi"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("seq").alias("min_seq"),
+        F.max("seq").alias("max_seq"),
+    )
     out = (
-        dealt.sortWithinPartitions(column, F.desc("seq"))
-        .write.mode("overwrite")
+        watched.write.mode("overwrite")
         .option("compression", compression)
         .option("parquet.block.size", block_bytes)
         .option("parquet.page.size", page_bytes)
@@ -45,6 +55,7 @@ def write_run(
         if n_keys:
             out = out.option(f"parquet.bloom.filter.expected.ndv#{column}", str(n_keys))
     out.parquet(path)
+    return {k: bytes(v) if isinstance(v, bytearray) else v for k, v in seen.get.items()}
 
 
 def read_runs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
