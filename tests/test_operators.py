@@ -119,6 +119,18 @@ def test_flush_points_over_many_ranges(spark):
     assert out == [(0, 300, 1, 300), (1, 300, 301, 600), (2, 300, 601, 900), (3, 100, 901, 1000)]
 
 
+def test_one_order_over_ranges(spark):
+    from tidemark.operators.order import bounds, gaps, running_total
+
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("o"), F.concat(F.lit("k"), F.col("id") * 7 % 500).alias("k"))
+    assert len(bounds(rows, "o", 8)) == 7 and bounds(rows.where("false"), "o") == []
+    out = running_total(rows, "o", F.lit(1), "before", 8)
+    assert out.where("before <> o").isEmpty() and out.count() == 500
+    names = sorted(f"k{i}" for i in range(500))
+    assert [r.k for r in running_total(rows, "k", F.lit(1), "n", 5).orderBy("n").collect()] == names
+    assert got(gaps(rows.where("o NOT IN (77, 300, 301)"), "o")) == [(77,), (300,)] and gaps(rows, "o").isEmpty()
+
+
 def test_greedy_sharding(spark):
     rows = spark.range(7).select(F.col("id").alias("key"))
     assert [s for _, s in got(op.shard_greedy(rows, 100, F.lit(40)))] == [0, 0, 1, 1, 1, 2, 2]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,8 +72,10 @@ def prefix_groups(rows: DataFrame, column: str = "key", interval: int = 16) -> D
 
     In sorted order the prefix that a group shares is that of its first and last key.
     """
-    numbered = rows.select(column).withColumn("rn", F.row_number().over(Window.orderBy(column)))
-    grouped = numbered.groupBy(F.floor((F.col("rn") - 1) / interval).alias("grp")).agg(
+    from tidemark.operators.order import running_total
+
+    numbered = running_total(rows.select(column), column, F.lit(1), "before")
+    grouped = numbered.groupBy(F.floor(F.col("before") / interval).alias("grp")).agg(
         F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.sum(F.char_length(column)).alias("plain")
     )
     shared = common_prefix(F.col("lo"), F.col("hi")).cast("long")

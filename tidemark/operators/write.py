@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import byte_size
+from tidemark.operators.order import running_total
 from tidemark.operators.resolve import live, resolve
 
 
@@ -61,24 +62,14 @@ def flush_points(log: DataFrame, threshold: int, weight: Column | None = None, o
     threshold.  For counts the batch number is ``floor((rank - 1) / threshold)``; weights use the
     running total in the same way, so that a batch ends where the total passes a multiple.
 
-    Ranks need one order over the log, so the running sums are made from per-range totals: ranges
-    are ranked in parallel and only one row a range passes through a single task.
+    See :func:`~tidemark.operators.order.running_total` for how one order over the log is had.
     """
-    w = F.lit(1) if weight is None else weight
-    rows = log.select(F.col(order).alias("_o"), w.cast("long").alias("_w"))
-    parts = rows.repartitionByRange(F.col("_o")).withColumn("_p", F.spark_partition_id())
-    inner = Window.partitionBy("_p").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("_run", F.sum("_w").over(inner))
-    sums = parts.groupBy("_p").agg(F.sum("_w").alias("_t"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    placed = local.join(F.broadcast(offsets), "_p").withColumn("_before", F.col("_run") + F.col("_base") - F.col("_w"))
-    return (
-        placed.groupBy(F.floor(F.col("_before") / F.lit(threshold)).alias("batch"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("_w").alias("weight"),
-            F.min("_o").alias("first_seq"),
-            F.max("_o").alias("last_seq"),
-        )
+    w = (F.lit(1) if weight is None else weight).cast("long")
+    rows = log.select(F.col(order).alias("_o"), w.alias("weight"))
+    placed = running_total(rows, "_o", F.col("weight"), "before")
+    return placed.groupBy(F.floor(F.col("before") / F.lit(threshold)).alias("batch")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("weight").alias("weight"),
+        F.min("_o").alias("first_seq"),
+        F.max("_o").alias("last_seq"),
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import gaps
+
 SCHEMA = "ord long, op string, key string, value string"
 
 
@@ -26,19 +28,10 @@ class CommandLog:
         got = lines.select(F.from_json("value", "crc long, ord long, body string").alias("r")).select("r.*")
         good = F.coalesce(F.crc32(F.col("body").cast("binary")) == F.col("crc"), F.lit(False))
         judged = got.select("ord", good.alias("good"), F.from_json("body", SCHEMA).alias("c"))
-        # A torn line has no number: it counts as the number after the last whole one before it.
+        # A torn line has no number and shows as a gap.
         bad = judged.where(~F.col("good") & F.col("ord").isNotNull()).agg(F.min("ord").alias("bad"))
         whole = judged.where("good").select("c.*")
-        # Numbers are whole from the first on: the first gap ends the prefix.  Gaps are found between
-        # neighbours, range by range, and only their minimum is gathered.
-        ranged = whole.select("ord").repartitionByRange("ord").withColumn("p", F.spark_partition_id())
-        inner = Window.partitionBy("p").orderBy("ord")
-        steps = ranged.withColumn("next", F.lead("ord").over(inner))
-        inside = steps.where("next > ord + 1").select((F.col("ord") + 1).alias("gap"))
-        ends = ranged.groupBy("p").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
-        across = (
-            ends.withColumn("next", F.lead("a").over(Window.orderBy("a"))).where("next > b + 1").select((F.col("b") + 1).alias("gap"))
-        )
-        gap = inside.unionAll(across).agg(F.min("gap").alias("gap"))
+        # Numbers are whole from the first on: the first gap ends the prefix.
+        gap = gaps(whole, "ord").agg(F.min("gap").alias("gap"))
         stop = bad.crossJoin(gap).select(F.least("bad", "gap").alias("stop"))  # one row with one row
         return whole.crossJoin(F.broadcast(stop)).where("stop IS NULL OR ord < stop").drop("stop").orderBy("ord")
