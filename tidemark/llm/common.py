@@ -135,9 +135,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             now.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        )
+        # Only the upper end of an edge moves: (a, b) with a > b becomes (a, least of b and around b).
+        large = now.join(least.withColumnRenamed("u", "b"), "b").select("a", F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(least, "a")

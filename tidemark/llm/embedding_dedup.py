@@ -274,8 +274,10 @@ def _solve(least: float):
                 table["side"].to_numpy(),
                 least,
             )
+            first = reps.copy()  # edges point at the smallest class, so that no hub is a source
+            np.minimum.at(first, root, reps)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(reps), pa.array(reps[root]), pa.array(count)], schema=_OUT
+                [pa.array(reps), pa.array(first[root]), pa.array(count)], schema=_OUT
             )
 
     return run

@@ -325,10 +325,12 @@ def _linker(radius: int, chunk: int = 1 << 17):
         cross = block[3] if (block[2] >= 0).any() else None
         root = link_arrays(bucket, np.ascontiguousarray(block[5:].T).view(np.uint64), radius, cross)
         rep = block[4]
-        away = np.flatnonzero(rep != rep[root])
+        least = rep.copy()  # edges point at the smallest class, so that no hub is a source
+        np.minimum.at(least, root, rep)
+        away = np.flatnonzero(rep != least[root])
         if len(away):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[away]), pa.array(rep[root[away]])], schema=_EDGES
+                [pa.array(rep[away]), pa.array(least[root[away]])], schema=_EDGES
             )
 
     return run
