@@ -541,6 +541,20 @@ def test_lm(docs, none, options):
     assert lm.score(none).isEmpty()
 
 
+def test_lm_with_a_word_that_is_half_of_all_tokens(spark):
+    """Its successors are dealt over several shards; nothing else changes."""
+    rng = np.random.default_rng(17)
+    texts = [(i, " ".join(f"the w{x}" for x in rng.integers(0, 300, 60))) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    hot = lm.hot_words(df, 6)
+    assert hot == {b"the": 6}
+    out = lm.score(df, strength=2.0, block=500, shards=6)
+    cols = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6), "score")
+    found, want = got(out, *cols), lm_brute(texts, 2.0)
+    assert [r[:6] for r in found] == [r[:6] for r in want]
+    assert all(math.isclose(a[6], b[6], rel_tol=2e-3, abs_tol=0.06) for a, b in zip(found, want, strict=True))
+
+
 def test_elias_fano(tmp_path):
     rng = np.random.default_rng(15)
     for k, top in enumerate((5, 1 << 20, 1 << 50, (1 << 63) - 1)):

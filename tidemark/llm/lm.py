@@ -18,8 +18,11 @@ The trie is dealt over shards by the context word, since it grows with the corpu
 3. *Scores.*  Each block meets its answers, and its texts are summed up.
 
 Successors are told apart in their context by 40 hash bits; words, and so the base score, are exact.
-A context is handled by one shard; what it receives is pre-aggregated per block, but a word that is
-a fixed share of all tokens makes its shard grow with the number of its distinct successors.
+A word that is a large share of all tokens would make its shard grow with its distinct successors:
+such words are looked for in a bounded sample of texts, and their successors are dealt over several
+shards by hash.  Which words these are changes only who counts what, never a result.  So that a shard
+need not know all of a context, level 2 holds joint probabilities ``c(v w) / N``, quantised up to
+the constant ``N``; whoever reads them divides by the context's ``c(v) + m``.
 
 Defined results.  A null text counts as empty and has the end token alone.  A null id is text
 ``null`` to the hash that deals texts to training.  Repeated rows are counted and scored each.
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import tempfile
 from binascii import crc32
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -48,20 +52,22 @@ END = b""
 HASH = 40
 _MASK = (1 << HASH) - 1
 _ADD = 0.1
-#: Quantised probabilities take two bytes: 0 is "absent", 1 to TOP are log10 p from LOW to 0.
-LOW, TOP = -12.0, 65535
+#: Quantised joint probabilities take two bytes: 0 is "absent", 1 to TOP are log10 c(v w) from 0 to
+#: HIGH, in steps of 0.0002.
+HIGH, TOP = 13.0, 65535
+_ODD = 0x9E3779B97F4A7C15
 
 
 def held_out(ident: int | None) -> bool:
     return crc32(str("null" if ident is None else ident).encode()) % 10 == 0
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    return (1 + np.rint((np.maximum(np.log10(p), LOW) / -LOW + 1) * (TOP - 1))).astype(np.uint16)
+def quantise(counts: np.ndarray) -> np.ndarray:
+    return (1 + np.rint(np.log10(counts) / HIGH * (TOP - 1))).astype(np.uint16)
 
 
 #: What each code stands for.
-LEVELS = np.concatenate([[0.0], 10.0 ** (LOW * (1 - np.arange(TOP) / (TOP - 1)))])
+LEVELS = np.concatenate([[0.0], 10.0 ** (HIGH * np.arange(TOP) / (TOP - 1))])
 
 
 class EliasFano:
@@ -151,20 +157,17 @@ def _mapped(path: Path, array: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """A shard's two levels: sorted words with pointers, and successors relative to their context."""
+    """A shard's two levels: sorted words with pointers, and successors relative to their context with
+    quantised joint probabilities."""
 
-    def __init__(self, folder: Path, contexts: int, keys: np.ndarray, counts: np.ndarray, strength: float) -> None:
+    def __init__(self, folder: Path, contexts: int, keys: np.ndarray, counts: np.ndarray) -> None:
         """``keys`` are sorted, unique ``context << HASH | successor``, counts their occurrences."""
         ends = np.searchsorted(keys, np.arange(1, contexts + 1, dtype=np.uint64) << np.uint64(HASH))
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        total = np.diff(upto[np.concatenate([[0], ends])])
-        del upto
         self.pointers = EliasFano(folder / "pointers", ends.astype(np.uint64))
         self.successors = EliasFano(folder / "successors", keys)
         codes = np.zeros(max(1, len(keys)), np.uint16)
         for at in range(0, len(keys), 1 << 20):
-            context = (keys[at : at + (1 << 20)] >> np.uint64(HASH)).astype(np.int64)
-            codes[at : at + (1 << 20)] = quantise(counts[at : at + (1 << 20)] / (total[context] + strength))
+            codes[at : at + (1 << 20)] = quantise(counts[at : at + (1 << 20)])
         self.probability = _mapped(folder / "probability", codes)
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
@@ -223,8 +226,8 @@ _SPEC = "kind string, block long, shard int, payload binary, words binary, token
 class _Block:
     """Texts gathered until they are coded together."""
 
-    def __init__(self, shards: int) -> None:
-        self.shards = shards
+    def __init__(self, shards: int, hot: dict[bytes, int]) -> None:
+        self.shards, self.hot = shards, hot
         self.ids: dict[bytes, int] = {END: 0}
         self.docs: list[tuple] = []
         self.codes: list[np.ndarray] = []
@@ -255,33 +258,58 @@ class _Block:
         lengths = np.array([d[1] for d in self.docs], np.int64)
         train = np.array([d[2] for d in self.docs], bool)
         fits = np.repeat(train, lengths)
-        short = (hashes[order] >> np.uint64(64 - HASH)).astype(np.uint64)
+        hashes, shard = hashes[order], shard[order]
+        short = hashes >> np.uint64(64 - HASH)
         counts = np.bincount(code[fits], minlength=len(words))
         keys, mine = pairs(code, lengths, rank[0], short, fits)
         ident = np.array([0 if d[0] is None else d[0] for d in self.docs], np.int64)
         null = np.array([d[0] is None for d in self.docs], np.uint8)
+        bounds = np.searchsorted(shard, np.arange(self.shards + 1))
+        hot = [(int(rank[self.ids[w]]), ways) for w, ways in self.hot.items() if w in self.ids]
+        hot = np.array(hot, np.int64).reshape(-1, 2)
         yield (
             "text", number, -1,
-            _pack(ident, null, train.astype(np.uint8), lengths, code, short, np.array([rank[0]], np.int64)),
+            _pack(ident, null, train.astype(np.uint8), lengths, code, hashes, np.array([rank[0]], np.int64), bounds, hot.reshape(-1)),
             None, int(self.tokens),
         )
-        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        at, moved = deal(keys, hashes, bounds, hot)
+        keys, mine, at = keys[moved], mine[moved], at[moved]
         context = (keys >> np.uint64(HASH)).astype(np.int64)
-        cut = np.searchsorted(context, bounds)
+        cut = np.searchsorted(at, np.arange(self.shards + 1))
         train_tokens = int(fits.sum())
         for s in range(self.shards):
-            lo, hi = int(bounds[s]), int(bounds[s + 1])
-            if lo == hi:
+            lo, hi, a, b = int(bounds[s]), int(bounds[s + 1]), int(cut[s]), int(cut[s + 1])
+            if lo == hi and a == b:
                 continue
-            a, b = int(cut[s]), int(cut[s + 1])
+            # Contexts of its own in order, then those whose successors are dealt here from elsewhere.
+            inside = (context[a:b] >= lo) & (context[a:b] < hi)
+            guests, fan = np.unique(context[a:b][~inside], return_counts=True)
+            fan = np.concatenate([np.bincount(context[a:b][inside] - lo, minlength=hi - lo), fan]).astype(np.uint32)
             low = keys[a:b] & np.uint64(_MASK)
-            fan = np.bincount(context[a:b] - lo, minlength=hi - lo).astype(np.uint32)
-            payload = _pack(counts[lo:hi].astype(np.uint32), fan, (low >> np.uint64(32)).astype(np.uint8), low.astype(np.uint32), mine[a:b].astype(np.uint32))
-            text = _PACK.compress(b"\n".join(words[i] for i in order[lo:hi]))
+            payload = _pack(
+                counts[lo:hi].astype(np.uint32), fan, (low >> np.uint64(32)).astype(np.uint8), low.astype(np.uint32), mine[a:b]
+            )
+            text = _PACK.compress(b"\n".join(words[i] for i in [*order[lo:hi], *order[guests]]))
             yield "request", number, s, payload, text, train_tokens
             train_tokens = 0  # told once a block
 
 
+def deal(keys: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each pair, and the order in which pairs are sent: by shard, in each the pairs of its
+    own contexts before the others.  ``hot`` has rows ``(context, ways)``."""
+    context = (keys >> np.uint64(HASH)).astype(np.int64)
+    own = (np.searchsorted(bounds, context, side="right") - 1).astype(np.int32)
+    at, shards = own.copy(), len(bounds) - 1
+    for rank, ways in hot.tolist():
+        lo, hi = np.searchsorted(context, [rank, rank + 1])
+        part = (keys[lo:hi] & np.uint64(_MASK)) % np.uint64(ways) * np.uint64(_ODD) + hashes[rank]
+        at[lo:hi] = (part % np.uint64(shards)).astype(np.int32)
+    if not len(hot):
+        return at, np.arange(len(keys))
+    place = 2 * at + (at != own)
+    return at, np.argsort(place.astype(np.uint16) if shards < 1 << 15 else place, kind="stable")
+
+
 def pairs(code, lengths, end, short, fits) -> tuple[np.ndarray, np.ndarray]:
     """Sorted unique ``context << HASH | successor`` keys and their training counts.
 
@@ -309,17 +337,49 @@ def _pair_keys(code, lengths, end, short) -> np.ndarray:
     return before << np.uint64(HASH) | short[code]
 
 
-def _blocks(shards: int, most: int):
+def _hot_words(shards: int):
+    """Words that are over a quarter of a shard's share of the tokens of a partition, with their counts;
+    the word ``None`` stands for all tokens."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for (text,) in rows(parts):
+            seen.update((text or b"").lower().split())
+            seen[END] += 1
+        total = sum(seen.values())
+        told = [(w, c) for w, c in seen.items() if c * 8 * shards > total]
+        yield from batches([(None, total), *told], pa.schema([("word", pa.binary()), ("n", pa.int64())]))
+
+    return run
+
+
+def hot_words(docs: DataFrame, shards: int, sample: int = 20_000) -> dict[bytes, int]:
+    """Words over a quarter of a shard's share of all tokens, as told by about ``sample`` texts, with the
+    number of shards to deal their successors to; never more than ``4 * shards`` words."""
+    n = docs.count()
+    share = min(1.0, sample / max(1, n))
+    ident = F.coalesce(F.col(docs.columns[0]).cast("string"), F.lit("null"))
+    picked = docs.where(F.pmod(F.xxhash64(F.lit(4), ident), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    counted = arrow_map(picked.select(docs.columns[1]), _hot_words(shards), "word binary, n long")
+    sums = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    total = sums.where("word IS NULL").select("n").head()
+    if not total or not total[0]:
+        return {}
+    most = sums.where("word IS NOT NULL").where(F.col("n") * 4 * shards > F.lit(total[0])).orderBy(F.desc("n")).limit(4 * shards)
+    return {bytes(r["word"]): min(shards, 1 + 4 * shards * r["n"] // total[0]) for r in most.collect()}
+
+
+def _blocks(shards: int, most: int, hot: dict[bytes, int]):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
 
         def records() -> Iterator[tuple]:
-            number, block = first, _Block(shards)
+            number, block = first, _Block(shards, hot)
             for ident, text in rows(parts):
                 block.add(ident, text)
                 if block.tokens >= most or block.bytes >= 24 << 20:
                     yield from block.records(number)
-                    number, block = number + 1, _Block(shards)
+                    number, block = number + 1, _Block(shards, hot)
             if block.docs:
                 yield from block.records(number)
 
@@ -346,21 +406,18 @@ _ANSWERS = pa.schema(
 )
 
 
-def _answer(strength: float):
+def _answer(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by shard: build its trie and answer its blocks."""
 
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[tuple]:
-            for shard, held in _requests(parts, 1):
-                with tempfile.TemporaryDirectory(prefix="trie-") as folder:
-                    yield from _solve(shard, held, strength, Path(folder))
-
-        yield from batches(records(), _ANSWERS, limit=8 << 20)
+    def records() -> Iterator[tuple]:
+        for shard, held in _requests(parts, 1):
+            with tempfile.TemporaryDirectory(prefix="trie-") as folder:
+                yield from _solve(shard, held, Path(folder))
 
-    return run
+    yield from batches(records(), _ANSWERS, limit=8 << 20)
 
 
-def _solve(shard: int, held: list[tuple], strength: float, folder: Path) -> Iterator[tuple]:
+def _solve(shard: int, held: list[tuple], folder: Path) -> Iterator[tuple]:
     names: dict[bytes, int] = {}
     owns = []
     for _, _, _, text, _ in held:
@@ -378,7 +435,8 @@ def _solve(shard: int, held: list[tuple], strength: float, folder: Path) -> Iter
     for own in owns:
         block, _, payload, _, told = held.pop(0)
         counts, fan, high, low, own_counts = _unpack(payload)
-        np.add.at(total, place[own], counts)
+        mine_words = place[own[: len(counts)]]  # contexts from elsewhere follow and are counted there
+        np.add.at(total, mine_words, counts)
         part = every[at : at + len(low)]
         part[:] = np.repeat(place[own].astype(np.uint64), fan)
         part <<= np.uint64(HASH)
@@ -386,7 +444,7 @@ def _solve(shard: int, held: list[tuple], strength: float, folder: Path) -> Iter
         part |= low
         mine[at : at + len(low)] = own_counts
         at += len(low)
-        asked.append((block, own, len(low), told))
+        asked.append((block, mine_words, len(low), told))
     order = np.argsort(every)
     every, mine = every[order], mine[order]
     fits = mine > 0
@@ -397,13 +455,13 @@ def _solve(shard: int, held: list[tuple], strength: float, folder: Path) -> Iter
     first = np.flatnonzero(new)
     keys, sums = keys[first], np.add.reduceat(sums, first, dtype=np.int64) if len(first) else sums
     del new, first
-    trie = Trie(folder, contexts, keys, sums, strength)
+    trie = Trie(folder, contexts, keys, sums)
     del keys, sums
     found = np.empty(len(every), np.uint16)
     found[order] = trie.look_up(every)
     known, at = int((total > 0).sum()), 0
     for block, own, n, told in asked:
-        yield block, shard, _pack(total[place[own]], found[at : at + n]), known, told
+        yield block, shard, _pack(total[own], found[at : at + n]), known, told
         known, at = 0, at + n
 
 
@@ -422,14 +480,14 @@ def _score(n: int, v: int, strength: float):
         for block, held in _requests(parts, 0):
             if held[0][1] != -1:
                 raise RuntimeError(f"block {block} has answers without texts")
-            ident, null, train, lengths, code, short, end = _unpack(held[0][2])
+            ident, null, train, lengths, code, hashes, end, bounds, hot = _unpack(held[0][2])
             answers = [_unpack(r[2]) for r in held[1:]]
             counts = np.concatenate([a[0] for a in answers])
             found = np.concatenate([a[1] for a in answers])
-            if len(counts) != len(short):
+            if len(counts) != len(hashes):
                 raise RuntimeError(f"block {block} is short of answers")
             del held, answers
-            keys = _pair_keys(code, lengths, end[0], short)
+            keys = _pair_keys(code, lengths, end[0], hashes >> np.uint64(64 - HASH))
             order = np.argsort(keys)
             new = np.ones(len(keys), bool)
             np.not_equal(keys[order[1:]], keys[order[:-1]], out=new[1:])
@@ -437,7 +495,10 @@ def _score(n: int, v: int, strength: float):
             spot[order] = np.cumsum(new, dtype=np.int32) - 1
             if spot[order[-1]] + 1 != len(found):
                 raise RuntimeError(f"block {block} has answers to other texts")
-            del order, new
+            _, moved = deal(keys[order[new]], hashes, bounds, hot.reshape(-1, 2))
+            sent, found = found, np.empty_like(found)
+            found[moved] = sent
+            del order, new, moved, sent
             starts = np.cumsum(lengths) - lengths
             base, score, seen = (np.empty(len(code)) for _ in range(3))
             for at in range(0, len(code), 1 << 18):  # in pieces, for the sake of memory
@@ -445,7 +506,7 @@ def _score(n: int, v: int, strength: float):
                 known = counts[code[part]]
                 p = (known + _ADD) / (n + _ADD * (v + 1))
                 before = counts[(keys[part] >> np.uint64(HASH)).astype(np.int64)]
-                model = LEVELS[found[spot[part]]] + strength / (before + strength) * p
+                model = (LEVELS[found[spot[part]]] + strength * p) / (before + strength)
                 base[part], score[part], seen[part] = np.log10(p), np.log10(model), known > 0
             del keys, spot
             yield pa.RecordBatch.from_arrays(
@@ -476,11 +537,11 @@ def score(
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    coded = materialise(arrow_map(own, _blocks(shards, block), _SPEC))
+    coded = materialise(arrow_map(own, _blocks(shards, block, hot_words(own, shards)), _SPEC))
     asked = coded.where("kind = 'request'").select("block", "shard", "payload", "words", "tokens")
     dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "block")
     answers = materialise(
-        arrow_map(dealt, _answer(strength), "block long, shard int, payload binary, known long, tokens long")
+        arrow_map(dealt, _answer, "block long, shard int, payload binary, known long, tokens long")
     )
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).head()
     texts = coded.where("kind = 'text'").select("block", "shard", "payload")
