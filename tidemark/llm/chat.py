@@ -42,25 +42,31 @@ def unescape(c: Column) -> Column:
     return F.when(F.instr(c, "\\") > 0, F.regexp_replace(c, r"(?s)\\(.)", "$1")).otherwise(c)
 
 
-def _turn(segment: Column) -> Column:
-    """A segment (without its end) as ``struct(role, text)``; null where it breaks the grammar."""
-    body = F.substring(segment, len(MARK) + 2, 1 << 30)
-    role = F.substring_index(body, ": ", 1)
-    text = F.substr(body, F.char_length(role) + F.lit(3))
-    good = (
-        F.startswith(segment, F.lit(MARK + " "))
-        & (F.instr(body, ": ") > 0)
-        & ~F.contains(body, F.lit(MARK))
-        & ~F.contains(body, F.lit(END))
-    )
-    return F.when(good, F.struct(unescape(role).alias("role"), unescape(text).alias("text")))
-
-
 def parse(formatted: Column) -> Column:
-    """``array<struct<role, text>>`` of a formatted conversation; null where it does not parse."""
+    """``array<struct<role, text>>`` of a formatted conversation; null where it does not parse.
+
+    Functions of an array's element are not shared between expressions, so each step computes one
+    thing and hands it on: the segments, their bodies, where the role ends, the turn.
+    """
     parts = F.split(formatted, END + "\n", -1)
-    turns = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), _turn)
-    return F.when((F.element_at(parts, -1) == "") & ~F.exists(turns, lambda t: t.isNull()), turns)
+    head = MARK + " "
+    bodies = F.transform(
+        F.slice(parts, F.lit(1), F.size(parts) - 1),
+        lambda s: F.when(F.startswith(s, F.lit(head)), F.substring(s, len(head) + 1, 1 << 30)),
+    )
+    placed = F.transform(bodies, lambda b: F.struct(b.alias("b"), F.instr(b, ": ").alias("at")))
+
+    def turn(x: Column) -> Column:
+        b, at = x["b"], x["at"]
+        good = (at > 0) & ~F.contains(b, F.lit(MARK)) & ~F.contains(b, F.lit(END))
+        role, text = F.substr(b, F.lit(1), at - 1), F.substr(b, at + 2)
+        return F.when(good, F.struct(role.alias("role"), text.alias("text")))
+
+    turns = F.transform(placed, turn)
+    whole = F.when((F.element_at(parts, -1) == "") & ~F.exists(turns, lambda t: t.isNull()), turns)
+    return F.transform(
+        whole, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))
+    )
 
 
 def _written(role: Column, text: Column) -> Column:
