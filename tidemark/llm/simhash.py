@@ -127,8 +127,11 @@ _AGREE = 0.445  # how often two sets of similarity 0.8 agree on that bit and its
 
 
 def wide(text: bytes | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """A 256-bit SimHash (four words) and the lopsidedness of each bit."""
-    hashes = shingle_hashes(text, size)
+    """A 256-bit SimHash (four words) of the *set* of shingles, and the lopsidedness of each bit.
+
+    Repeats count once here: with them, two texts that repeat one passage would look alike.
+    """
+    hashes = np.unique(shingle_hashes(text, size))
     lanes = hashes[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     lanes = (lanes ^ (lanes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     lanes = (lanes ^ (lanes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
