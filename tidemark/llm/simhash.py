@@ -25,7 +25,9 @@ the similarity of the shingle sets, as told by fingerprints of 256 bits.  At a s
 39 of 256 bits differ, which leaves few whole segments and nothing for coordinate differences to
 discard, so its tables are keyed by stable parts instead: in each of several groups of bits, the bit
 whose count is the most lopsided, and its side.  Their number is set for 99 of 100 pairs at the
-similarity asked for (more above it); pivots and verification are the same.
+similarity asked for (more above it); pivots are the same.  Texts met so are candidates only: the
+components of candidates are handed out whole, and in each every two shingle sets are compared in full
+(:func:`link_sets`), so that no link is below the similarity asked for.
 
 Defined results.  A null text counts as empty; documents without words have fingerprint zero and
 are linked like any other.  Fewer words than a shingle make one shingle of them all.  Rows that
@@ -36,8 +38,10 @@ empty table.  Only id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import combinations, repeat
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
+from itertools import combinations, groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +135,11 @@ def wide(text: bytes | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
     Repeats count once here: with them, two texts that repeat one passage would look alike.
     """
-    hashes = np.unique(shingle_hashes(text, size))
+    return wide_of(np.unique(shingle_hashes(text, size)))
+
+
+def wide_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`wide` of a set of shingle hashes."""
     lanes = hashes[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     lanes = (lanes ^ (lanes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     lanes = (lanes ^ (lanes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -156,12 +164,12 @@ def lopsided_keys(tilt: np.ndarray, groups: np.ndarray) -> list[int]:
     return (code << shift).sum(axis=1).tolist()
 
 
-def radius_of(similarity: float) -> int:
-    """Bits of 256 that may differ: two standard deviations above what is expected at a Jaccard
-    similarity of the shingle sets."""
+def loose_radius_of(similarity: float) -> int:
+    """Bits of 256 that candidates may differ in: four standard deviations above what is expected at a
+    Jaccard similarity of the shingle sets."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = BITS * WORDS
-    return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
 
 
 def _signed(x: int) -> int:
@@ -352,8 +360,11 @@ def links(classes: DataFrame, n_classes: int, radius: int = 4, most: int = 1 <<
     return link_buckets(dealt, radius, most)
 
 
-def link_buckets(dealt: DataFrame, radius: int, most: int = 1 << 16) -> DataFrame:
-    """``a, b``: a spanning forest of the matches in each bucket ``(slot, key)`` of ``(fp, rep)``."""
+def link_buckets(dealt: DataFrame, radius: int, most: int = 1 << 16, linker: Callable | None = None) -> DataFrame:
+    """``a, b``: a spanning forest of the matches in each bucket ``(slot, key)`` of ``(fp, rep)``.
+
+    Matches are fingerprints within ``radius`` bits, or what ``linker`` finds.
+    """
     hot = dealt.groupBy("slot", "key").count().where(F.col("count") > most)
     hot = materialise(hot)
     none = F.lit(-1).cast("long")
@@ -385,7 +396,7 @@ def link_buckets(dealt: DataFrame, radius: int, most: int = 1 << 16) -> DataFram
     dealt = split.repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part")
     return arrow_map(
         dealt.select(F.col("slot").cast("long"), "key", "part", "side", "fp", "rep"),
-        _linker(radius),
+        linker or _linker(radius),
         "a long, b long",
     )
 
@@ -408,20 +419,121 @@ def near_dedup(
     return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
+_SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary())])
+
+
+def digest_of(hashes: np.ndarray) -> bytes:
+    """Sixteen bytes that tell sets of shingle hashes apart."""
+    return blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _wide_prints(size: int, groups: np.ndarray):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
             for ident, text in rows(parts):
-                fp, tilt = wide(text, size)
-                yield ident, fp.tobytes(), lopsided_keys(tilt, groups)
+                hashes = np.unique(shingle_hashes(text, size))
+                fp, tilt = wide_of(hashes)
+                yield ident, fp.tobytes(), digest_of(hashes), lopsided_keys(tilt, groups)
 
         yield from batches(records(), schema)
 
     return run
 
 
+def _sets(size: int):
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = ((i, np.unique(shingle_hashes(t, size))) for i, t in rows(parts))
+        yield from batches(((i, digest_of(h), h.tobytes()) for i, h in sets), _SETS)
+
+    return run
+
+
+def link_sets(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Root index of each set under "Jaccard similarity of at least ``similarity``", compared in full.
+
+    Breadth first: a set that is reached is never compared with another that was.  With ``side``, only
+    sets whose ``side`` differs are compared, or all where it is below 0.
+    """
+    sizes = np.array([len(x) for x in sets])
+    root = np.arange(len(sets))
+    rest = np.argsort(sizes, kind="stable")
+    rest = rest[sizes[rest] > 0]
+    if len(rest) < 2:
+        return root
+    flat = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)[1]
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    at = np.r_[0, np.cumsum(sizes[rest])]
+    own = {i: flat[lo:hi] for i, lo, hi in zip(rest.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
+
+    def drop(gone: np.ndarray) -> None:
+        nonlocal rest, flat, at
+        flat = flat[np.repeat(~gone, sizes[rest])]
+        rest = rest[~gone]
+        at = np.r_[0, np.cumsum(sizes[rest])]
+
+    while len(rest):
+        first = int(rest[0])
+        gone = np.zeros(len(rest), bool)
+        gone[0] = True
+        drop(gone)
+        todo = [first]
+        while todo and len(rest):
+            x = todo.pop()
+            bounds = sizes[x] * similarity - 1e-6, sizes[x] / similarity + 1e-6
+            lo, hi = np.searchsorted(sizes[rest], bounds)
+            if lo == hi:
+                continue
+            mark[own[x]] = True
+            common = np.add.reduceat(mark[flat[at[lo] : at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)
+            mark[own[x]] = False
+            window = rest[lo:hi]
+            near = common * (1 + similarity) >= (sizes[window] + sizes[x]) * similarity - 1e-6
+            if side is not None:
+                near &= (side[window] != side[x]) | (side[x] < 0)
+            if near.any():
+                root[window[near]] = first
+                todo.extend(window[near].tolist())
+                gone = np.zeros(len(rest), bool)
+                gone[lo:hi] = near
+                drop(gone)
+    return root
+
+
+def _set_linker(similarity: float):
+    """Over partitions sorted by (slot, key, part), ``fp`` being whole sets: forests of the buckets."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges() -> Iterator[tuple]:
+            for _, group in groupby(rows(parts), key=itemgetter(0, 1, 2)):
+                _, _, _, side, sets, rep = zip(*group, strict=True)
+                if len(sets) < 2:
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in sets]
+                root = link_sets(sets, similarity, np.array(side) if max(side) >= 0 else None)
+                rep = np.array(rep)
+                least = rep.copy()
+                np.minimum.at(least, root, rep)
+                away = rep != least[root]
+                yield from zip(rep[away].tolist(), least[root[away]].tolist(), strict=True)
+
+        yield from batches(edges(), _EDGES)
+
+    return run
+
+
+def verified(own: DataFrame, classes: DataFrame, found: DataFrame, size: int, similarity: float, most: int = 1 << 13) -> DataFrame:
+    """``a, b``: a spanning forest of the classes ``(digest, rep)`` whose sets are similar, looked for
+    within the components ``found`` of candidates."""
+    members = classes.join(found, F.col("rep") == F.col("node")).select("digest", "rep", F.col("component").alias("key"))
+    texts = own.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = arrow_map(texts.select("doc_id", "text"), _sets(size), "doc_id long, digest binary, fp binary")
+    dealt = sets.withColumnRenamed("doc_id", "rep").join(members, ["digest", "rep"])
+    dealt = materialise(dealt.select(F.lit(0).alias("slot"), "key", "fp", "rep"))
+    return link_buckets(dealt, 0, most, _set_linker(similarity))
+
+
 def similar_dedup(
     docs: DataFrame,
     size: int = 5,
@@ -431,7 +543,8 @@ def similar_dedup(
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, fp, component_id``, one row per input row: texts linked whose ``size``-word shingle
-    sets are similar, by fingerprints of 256 bits.
+    sets have a Jaccard similarity of at least ``similarity``.  Candidates are met by fingerprints of
+    256 bits.
 
     The keys' length follows the number of rows, so that buckets of unrelated texts stay about
     ``bucket`` rows.
@@ -440,17 +553,20 @@ def similar_dedup(
     parts = 1
     while parts < 8 and n >> (7 * parts) > bucket:
         parts += 1
-    own = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    prints = materialise(arrow_map(own, _wide_prints(size, key_groups(parts)), "doc_id long, fp binary, keys array<long>"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    spec = "doc_id long, fp binary, digest binary, keys array<long>"
+    prints = materialise(arrow_map(own, _wide_prints(size, key_groups(parts)), spec))
     classes = materialise(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+        prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "keys")))
     )
-    dealt = classes.where("rep IS NOT NULL").select("fp", "rep", F.posexplode("keys").alias("slot", "key"))
-    found = components(link_buckets(dealt.select("slot", "key", "fp", "rep"), radius_of(similarity)))
+    named = classes.where("rep IS NOT NULL")
+    dealt = named.select("fp", "rep", F.posexplode("keys").alias("slot", "key"))
+    near = link_buckets(dealt.select("slot", "key", "fp", "rep"), loose_radius_of(similarity))
+    found = components(verified(own, named.select("digest", "rep"), components(near), size, similarity))
     owners = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+        "digest", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.select("doc_id", "fp").join(owners, "fp").select("doc_id", "fp", "component_id")
+    return prints.select("doc_id", "fp", "digest").join(owners, "digest").select("doc_id", "fp", "component_id")
 
 
 def keep_first(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
