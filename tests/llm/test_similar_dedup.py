@@ -50,3 +50,33 @@ def test_link_sets(sides):
     assert {(i, j) for i in range(len(sets)) for j in range(i) if root[i] == root[j]} == {
         (i, j) for i in range(len(sets)) for j in range(i) if got[i] == got[j]
     }
+
+
+def test_every_pair_at_the_similarity_is_linked(spark):
+    """Isolated pairs at 0.802, one of their own each, with keys of two parts: all are found."""
+    rng = np.random.default_rng(12)
+    found = dedup(spark, [t for _ in range(300) for t in pair(rng, 22)], bucket=0)
+    assert all(found[2 * k] == found[2 * k + 1] for k in range(300)) and len(set(found.values())) == 300
+
+
+@pytest.mark.parametrize("large,most", [(256, 1 << 16), (4, 1 << 16), (256, 8)])
+def test_prefixes_meet_every_pair(spark, monkeypatch, large, most):
+    """Candidates of prefixes alone, at any size of set, in large and in cut buckets."""
+    monkeypatch.setattr(simhash.link_parities, "__defaults__", (None, large))
+    rng = np.random.default_rng(13)
+    counts = np.zeros(simhash.PLACES, np.int32)
+    common = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    sets = []
+    for m in (1, 4, 5, 9, 10, 40, 41, 300):
+        for _ in range(8):
+            base = np.r_[common, rng.integers(0, 1 << 63, m).astype(np.uint64)]
+            sets += [np.unique(base), np.unique(np.r_[base[: len(base) - len(base) // 9], rng.integers(0, 1 << 63, len(base) // 9).astype(np.uint64)])]
+    rows = []
+    for i, h in enumerate(sets):
+        first = simhash.prefix(h, 0.8, counts).view(np.int64).tolist()
+        rows.append((i, 1000 + i, bytearray(simhash.parity(h).tobytes()), first))
+    classes = spark.createDataFrame(rows, "rep long, code long, parity binary, prefix array<long>")
+    found = {r.node: r.component for r in simhash.components(simhash.prefix_links(classes, 0.8, most)).collect()}
+    plain = [set(x.tolist()) for x in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]
+    assert len(pairs) >= 60 and all(found[i] == found[j] for i, j in pairs)

@@ -21,13 +21,19 @@ are linked already are not compared with one another again.  Buckets above ``mos
 cluster) are cut into chunks and each pair of chunks goes to a task of its own.
 
 :func:`near_dedup` links by a number of bits and finds every such pair.  :func:`similar_dedup` links by
-the similarity of the shingle sets, as told by fingerprints of 256 bits.  At a similarity of 0.8 some
-39 of 256 bits differ, which leaves few whole segments and nothing for coordinate differences to
-discard, so its tables are keyed by stable parts instead: in each of several groups of bits, the bit
-whose count is the most lopsided, and its side.  Their number is set for 99 of 100 pairs at the
-similarity asked for (more above it); pivots are the same.  Texts met so are candidates only: the
-components of candidates are handed out whole, and in each every two shingle sets are compared in full
-(:func:`link_sets`), so that no link is below the similarity asked for.
+the Jaccard similarity of the shingle sets, and finds every such pair too.  Candidates are met in two ways:
+
+* *Prefixes.*  Two sets of similarity ``s`` share one of the first ``m - ceil(s * m) + 1`` of their ``m``
+  shingles in any order of all shingles, so every pair meets under a shingle of its prefixes.  The order is
+  from rare to common, by counts of a sample; it decides how large buckets are, never what is found.
+  In a bucket, 1024-bit parities of the sets are compared: they never differ in more places than
+  the sets do (:func:`link_parities`), so no pair is lost here either.
+* *Fingerprints* of 256 bits.  At a similarity of 0.8 some 39 bits differ, which leaves few whole segments
+  and nothing for coordinate differences to discard, so tables are keyed by stable parts: in each of several
+  groups of bits, the bit whose count is the most lopsided, and its side.
+
+The components of candidates are handed out whole, and in each every two shingle sets are compared in
+full (:func:`link_sets`), so that no link is below the similarity asked for.
 
 Defined results.  A null text counts as empty; documents without words have fingerprint zero and
 are linked like any other.  Fewer words than a shingle make one shingle of them all.  Rows that
@@ -45,7 +51,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -148,7 +154,8 @@ def wide_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_groups(parts: int) -> np.ndarray:
-    """Bit places of each table's ``parts`` groups, fixed; tables for 99 of 100 pairs."""
+    """Bit places of each table's ``parts`` groups, fixed; tables for 99 of 100 pairs, were they
+    independent.  They share bits and are not; what they miss is met by prefixes."""
     n = int(np.ceil(np.log(100) / _AGREE**parts))
     rng = np.random.Generator(np.random.PCG64(SEED))
     return np.stack([[rng.permutation(BITS * WORDS)[:GROUP] for _ in range(parts)] for _ in range(n)])
@@ -164,12 +171,12 @@ def lopsided_keys(tilt: np.ndarray, groups: np.ndarray) -> list[int]:
     return (code << shift).sum(axis=1).tolist()
 
 
-def loose_radius_of(similarity: float) -> int:
-    """Bits of 256 that candidates may differ in: four standard deviations above what is expected at a
-    Jaccard similarity of the shingle sets."""
+def radius_of(similarity: float) -> int:
+    """Bits of 256 that candidates of fingerprints may differ in: two standard deviations above what is
+    expected at a Jaccard similarity of the shingle sets.  Prefixes meet the pairs beyond."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = BITS * WORDS
-    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
 
 
 def _signed(x: int) -> int:
@@ -297,7 +304,7 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         root[np.maximum(x, y)] = np.minimum(x, y)
 
 
-def _linker(radius: int, chunk: int = 1 << 17):
+def _linker(radius: float, chunk: int = 1 << 17, link: Callable = link_arrays):
     """Over partitions sorted by (slot, key, part): forests of the buckets."""
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +341,7 @@ def _linker(radius: int, chunk: int = 1 << 17):
         new[1:] = (block[:3, 1:] != block[:3, :-1]).any(axis=0)
         bucket = np.cumsum(new)
         cross = block[3] if (block[2] >= 0).any() else None
-        root = link_arrays(bucket, np.ascontiguousarray(block[5:].T).view(np.uint64), radius, cross)
+        root = link(bucket, np.ascontiguousarray(block[5:].T).view(np.uint64), radius, cross)
         rep = block[4]
         least = rep.copy()  # edges point at the smallest class, so that no hub is a source
         np.minimum.at(least, root, rep)
@@ -427,17 +434,124 @@ def digest_of(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _wide_prints(size: int, groups: np.ndarray):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+PLACES = 1 << 20  # of the sketch of shingle counts
+PARITY = 16  # words
+
+
+def _sketch(size: int):
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(PLACES, np.int32)
+        for (text,) in rows(parts):
+            np.add.at(sums, np.unique(shingle_hashes(text, size)) & np.uint64(PLACES - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def shingle_counts(own: DataFrame, n: int, size: int, sample: int = 20_000) -> np.ndarray:
+    """How often shingles occur in about ``sample`` of the ``n`` texts, by ``PLACES`` places of their hash."""
+    share = int(min(1.0, sample / max(1, n)) * (1 << 40))
+    picked = own.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 40)) < F.lit(share)).select("text")
+    got = arrow_map(picked.coalesce(8), _sketch(size), "sums binary").collect()  # eight tables of fixed size
+    return sum((np.frombuffer(r["sums"], np.int32) for r in got), np.zeros(PLACES, np.int32))
+
+
+def prefix(hashes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which sets of that similarity share one, rare ones first."""
+    m = len(hashes)
+    take = m - int(np.ceil(similarity * m - 1e-6)) + 1 if m else 0
+    return hashes[np.lexsort((hashes, counts[hashes & np.uint64(PLACES - 1)]))[:take]]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The set's size and, for each of 1024 places of the hash, whether an odd number of shingles falls there."""
+    odd = np.bincount((hashes >> np.uint64(40)) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+    return np.r_[np.uint64(len(hashes)), np.packbits(odd.astype(bool), bitorder="little").view("<u8")]
+
+
+def link_parities(
+    bucket: np.ndarray, fp: np.ndarray, similarity: float, cross: np.ndarray | None = None, large: int = 256
+) -> np.ndarray:
+    """Root index of each row under "same bucket, and no proof from size and parity that the sets are
+    less similar".  Arguments as for :func:`link_arrays`, with rows of :func:`parity`."""
+    sizes = fp[:, 0].astype(np.int64)
+    order = np.lexsort((sizes, bucket))
+    bucket, sizes, bits = bucket[order], sizes[order], fp[order, 1:]
+    side = None if cross is None else cross[order]
+    share = (1 - similarity) / (1 + similarity)
+    root = np.arange(len(fp))
+    left, step = np.arange(len(fp)), 0
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    lengths = np.diff(np.r_[starts, len(bucket)])
+    for k in np.flatnonzero(lengths > large):
+        rest = np.arange(starts[k], starts[k] + lengths[k])
+        while len(rest):
+            first, rest = rest[0], rest[1:]
+            todo = [first]
+            while todo and len(rest):
+                x = todo.pop()
+                lo, hi = np.searchsorted(sizes[rest], (sizes[x] * similarity - 1e-6, sizes[x] / similarity + 1e-6))
+                window = rest[lo:hi]
+                near = _distance(bits[window], bits[x]) <= (sizes[window] + sizes[x]) * share + 1e-6
+                if side is not None:
+                    near &= (side[window] != side[x]) | (side[x] < 0)
+                if near.any():
+                    root[window[near]] = first
+                    todo.extend(window[near].tolist())
+                    rest = np.delete(rest, lo + np.flatnonzero(near))
+    left = left[np.repeat(lengths <= large, lengths)]
+    while len(left):
+        step += 1
+        left = left[left + step < len(fp)]
+        right = left + step
+        near = (bucket[left] == bucket[right]) & (sizes[left] >= sizes[right] * similarity - 1e-6)
+        left, right = left[near], right[near]
+        a, b = left, right
+        if side is not None:
+            apart = (side[a] != side[b]) | (side[a] < 0)
+            a, b = a[apart], b[apart]
+        if len(a):
+            same = _distance(bits[a], bits[b]) <= (sizes[a] + sizes[b]) * share + 1e-6
+            _join(root, a[same], b[same])
+    out = np.empty_like(root)
+    out[order] = order[_flat(root)]
+    return out
+
+
+def prefix_links(classes: DataFrame, similarity: float, most: int = 1 << 16) -> DataFrame:
+    """``a, b``: a spanning forest, bucket by bucket, of classes ``(rep, code, parity, prefix)`` that share
+    a shingle of their prefixes and may be similar.
+
+    Shingles and codes are dealt first, and parities follow only where a shingle is shared.
+    """
+    dealt = classes.select("code", F.explode("prefix").alias("key"))
+    shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "code")
+    met = shared.join(classes.select("code", "rep", F.col("parity").alias("fp")), "code")
+    met = materialise(met.select(F.lit(0).alias("slot"), "key", "fp", "rep"))
+    return link_buckets(met, 0, most, _linker(similarity, 1 << 15, link_parities))
+
+
+def _wide_prints(size: int, groups: np.ndarray, similarity: float, counts: np.ndarray):
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())),
+            ("code", pa.int64()), ("parity", pa.binary()), ("prefix", pa.list_(pa.int64())),
+        ]
+    )
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
             for ident, text in rows(parts):
                 hashes = np.unique(shingle_hashes(text, size))
                 fp, tilt = wide_of(hashes)
-                yield ident, fp.tobytes(), digest_of(hashes), lopsided_keys(tilt, groups)
+                digest = digest_of(hashes)
+                first = prefix(hashes, similarity, counts).view(np.int64).tolist()
+                yield (
+                    ident, fp.tobytes(), digest, lopsided_keys(tilt, groups),
+                    int.from_bytes(digest[:8], "little", signed=True), parity(hashes).tobytes(), first,
+                )
 
-        yield from batches(records(), schema)
+        yield from batches(records(), schema, 512)
 
     return run
 
@@ -462,7 +576,7 @@ def link_sets(sets: list[np.ndarray], similarity: float, side: np.ndarray | None
     rest = rest[sizes[rest] > 0]
     if len(rest) < 2:
         return root
-    flat = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)[1]
+    flat = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)[1].astype(np.int32)
     mark = np.zeros(int(flat.max()) + 1, bool)
     at = np.r_[0, np.cumsum(sizes[rest])]
     own = {i: flat[lo:hi] for i, lo, hi in zip(rest.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
@@ -523,7 +637,7 @@ def _set_linker(similarity: float):
     return run
 
 
-def verified(own: DataFrame, classes: DataFrame, found: DataFrame, size: int, similarity: float, most: int = 1 << 13) -> DataFrame:
+def verified(own: DataFrame, classes: DataFrame, found: DataFrame, size: int, similarity: float, most: int = 1 << 11) -> DataFrame:
     """``a, b``: a spanning forest of the classes ``(digest, rep)`` whose sets are similar, looked for
     within the components ``found`` of candidates."""
     members = classes.join(found, F.col("rep") == F.col("node")).select("digest", "rep", F.col("component").alias("key"))
@@ -543,25 +657,26 @@ def similar_dedup(
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, fp, component_id``, one row per input row: texts linked whose ``size``-word shingle
-    sets have a Jaccard similarity of at least ``similarity``.  Candidates are met by fingerprints of
-    256 bits.
+    sets have a Jaccard similarity of at least ``similarity``.
 
-    The keys' length follows the number of rows, so that buckets of unrelated texts stay about
-    ``bucket`` rows.
+    Candidates are met by prefixes, which is complete, and by fingerprints, whose keys' length follows
+    the number of rows, so that buckets of unrelated texts stay about ``bucket`` rows.
     """
     n = docs.count()
     parts = 1
     while parts < 8 and n >> (7 * parts) > bucket:
         parts += 1
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    spec = "doc_id long, fp binary, digest binary, keys array<long>"
-    prints = materialise(arrow_map(own, _wide_prints(size, key_groups(parts)), spec))
+    spec = "doc_id long, fp binary, digest binary, keys array<long>, code long, parity binary, prefix array<long>"
+    maker = _wide_prints(size, key_groups(parts), similarity, shingle_counts(own, n, size))
+    prints = materialise(arrow_map(own, maker, spec))
     classes = materialise(
-        prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "keys")))
+        prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "keys", "code", "parity", "prefix")))
     )
     named = classes.where("rep IS NOT NULL")
     dealt = named.select("fp", "rep", F.posexplode("keys").alias("slot", "key"))
-    near = link_buckets(dealt.select("slot", "key", "fp", "rep"), loose_radius_of(similarity))
+    near = link_buckets(dealt.select("slot", "key", "fp", "rep"), radius_of(similarity))
+    near = near.unionAll(prefix_links(named, similarity))
     found = components(verified(own, named.select("digest", "rep"), components(near), size, similarity))
     owners = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
