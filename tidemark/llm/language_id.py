@@ -41,6 +41,7 @@ LEVELS = 4
 _CHUNK = 1 << 16
 _HIDDEN = re.compile(r"<(script|style|nav|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
 _TAG = re.compile(r"<[^>]*>")
+_OPENING = re.compile(r"<!--|<html\b", re.IGNORECASE)
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -51,9 +52,27 @@ def visible(page: str | None) -> str:
 
 
 def declared(page: str | None) -> str:
-    """Primary subtag of the page's language attribute, or nothing."""
-    m = _DECLARED.search(page[:4096]) if page else None
-    return m[1].lower() if m else ""
+    """Primary subtag of the page's language attribute, or nothing.
+
+    The whole page is searched, once: comments are skipped (one without an end is none), and a tag is
+    looked at up to its end.
+    """
+    page = page or ""
+    at, ends = 0, True
+    while m := _OPENING.search(page, at):
+        at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at) if ends else -1
+            ends = end >= 0
+            at = end + 3 if ends else at
+            continue
+        end = page.find(">", at)
+        end = len(page) if end < 0 else end
+        tag = _DECLARED.match(page, m.start(), end)
+        if tag:
+            return tag[1].lower()
+        at = end
+    return ""
 
 
 def host(url: str | None) -> str:
