@@ -10,3 +10,16 @@ def test_declared_anywhere_in_the_page():
     assert language_id.declared("<!-- <html lang=de> -->" + " " * 5000 + tag) == "pt"
     assert language_id.declared("<!-- no end " + tag) == "pt" and language_id.declared("<html " + "a" * 9000) == ""
     assert language_id.declared("<!--" * 200_000) == "" and language_id.declared(None) == ""
+
+
+def coded(spark, rows):
+    return spark.createDataFrame(rows, "declared string, text_lang int")
+
+
+def test_every_declared_pair_counts(spark):
+    """1,400 tags, each seen in two languages: none is cut."""
+    tags = [a + b + c for a in "abcdefgh" for b in "abcdefghijklmnopqrstuvwxyz"[:25] for c in "abcdefg"]
+    rows = [(t, 0) for t in tags for _ in range(2)] + [(t, 1) for t in tags]
+    got = {r.declared: r.likely for r in language_id._declared_odds(coded(spark, rows), 2).collect()}
+    assert len(tags) == 1400 and set(got) == set(tags)
+    assert all(v == [2.5 / (2800 + 700), 1.5 / (1400 + 700)] for v in got.values())

@@ -42,7 +42,7 @@ _CHUNK = 1 << 16
 _HIDDEN = re.compile(r"<(script|style|nav|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
 _TAG = re.compile(r"<[^>]*>")
 _OPENING = re.compile(r"<!--|<html\b", re.IGNORECASE)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
+_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})\b", re.IGNORECASE)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -184,14 +184,7 @@ def identify(
         )
     )
     # P(declared | language), over all pages, with a floor for pairs never seen.
-    said = {(r["declared"], r["text_lang"]): r["count"] for r in _declared_table(coded, 1000)}
-    tags = sorted({d for d, _ in said})
-    by = [sum(c for (_, k), c in said.items() if k == i) for i in range(n)]
-    odds = {d: [(said.get((d, i), 0) + 0.5) / (by[i] + 0.5 * max(1, len(tags))) for i in range(n)] for d in tags}
-    likely = F.array(*(F.lit(1.0) for _ in langs))
-    if tags:
-        table = F.create_map(*(x for d in tags for x in (F.lit(d), F.array(*map(F.lit, odds[d])))))
-        likely = F.coalesce(table[F.col("declared")], likely)
+    odds = _declared_odds(coded, n)
     # Host tables, from the whole down to the host: one small row per host, then one join.
     whole = coded.agg(_sums(n).alias("s0"), F.count(F.lit(1)).cast("double").alias("n0")).head()
     hosts = coded.groupBy("host").agg(_sums(n).alias("sums"), F.count(F.lit(1)).cast("double").alias("pages"))
@@ -225,7 +218,7 @@ def identify(
             )
         )
         joined = joined.withColumn(f"p{k}", F.when(F.col(f"n{k}").isNull(), F.col(f"p{k - 1}")).otherwise(step))
-    raw = joined.withColumn("likely", likely).withColumn(
+    raw = joined.join(odds, "declared").withColumn(
         "raw", F.array(*(F.element_at("post", i + 1) * F.element_at(f"p{LEVELS}", i + 1) * F.element_at("likely", i + 1) for i in range(n)))
     )
     names = F.array(*map(F.lit, langs))
@@ -240,10 +233,17 @@ def identify(
     )
 
 
-def _declared_table(coded: DataFrame, most: int) -> list:
-    """Counts of declared against text languages; tags beyond the commonest are told apart no more."""
-    counts = coded.groupBy("declared", "text_lang").count()
-    return counts.orderBy(F.desc("count"), "declared", "text_lang").limit(most).collect()
+def _declared_odds(coded: DataFrame, n: int) -> DataFrame:
+    """``declared, likely``: per tag its smoothed share of each text language's pages, over all pairs.
+
+    Tags are two or three letters or nothing, 18,253 at most, so the table can be broadcast.
+    """
+    pairs = materialise(coded.groupBy("declared", "text_lang").count())
+    by = {r["text_lang"]: r["pages"] for r in pairs.groupBy("text_lang").agg(F.sum("count").alias("pages")).collect()}
+    half = 0.5 * max(1, pairs.select("declared").distinct().count())
+    seen = [F.sum(F.when(F.col("text_lang") == i, F.col("count")).otherwise(0)) for i in range(n)]
+    likely = F.array(*((c + F.lit(0.5)) / F.lit(by.get(i, 0) + half) for i, c in enumerate(seen)))
+    return F.broadcast(pairs.groupBy("declared").agg(likely.alias("likely")))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
