@@ -23,3 +23,21 @@ def test_every_declared_pair_counts(spark):
     got = {r.declared: r.likely for r in language_id._declared_odds(coded(spark, rows), 2).collect()}
     assert len(tags) == 1400 and set(got) == set(tags)
     assert all(v == [2.5 / (2800 + 700), 1.5 / (1400 + 700)] for v in got.values())
+
+
+def test_every_suffix_of_a_deep_host(spark):
+    """Blogs of one page each under de.blogs.example.com and en.blogs.example.com, five labels deep:
+    a page without evidence of its own takes the language of the four labels above it."""
+    docs = spark.createDataFrame(
+        [(i, t, g) for i, (t, g) in enumerate([("der fluss und langsam", "de"), ("the river and slow", "en")] * 40)],
+        "doc_id long, text string, lang string",
+    )
+    rows = []
+    for g, text in (("de", "der fluss und langsam"), ("en", "the river and slow")):
+        rows += [(f"{g}{i}", f"https://u{i}.{g}.blogs.example.com/", f"<p>{text} {text}</p>") for i in range(30)]
+        rows.append((f"{g} none", f"https://none.{g}.blogs.example.com/", "<p></p>"))
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: r for r in language_id.identify(pages, docs).collect()}
+    assert len(got) == len(rows)
+    for g in ("de", "en"):
+        assert got[f"{g} none"].lang == g and got[f"{g} none"].confidence > 0.7

@@ -7,7 +7,7 @@ The posterior of a page's language multiplies four kinds of evidence:
 * *declared markup language*: ``P(lang attribute | language)``, estimated over all pages by a grouped
   aggregation of declared against text languages;
 * *address suffix and host priors*: for each suffix of the host name, from the top-level label down
-  to the whole host, ``P(language | level) = (sum + kappa * P(language | level above)) / (n + kappa)``,
+  to the whole host, and last for the host without those below it, ``P(language | level) = (sum + kappa * P(language | level above)) / (n + kappa)``,
   the sums being text posteriors grouped by the level.  A page's own part is taken out of the sums
   first, so its text is not counted twice.
 
@@ -37,7 +37,6 @@ from tidemark.llm.common import arrow_map, batches, materialise, rows
 
 BITS = 16
 SIZE = 1 << BITS
-LEVELS = 4
 _CHUNK = 1 << 16
 _HIDDEN = re.compile(r"<(script|style|nav|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
 _TAG = re.compile(r"<[^>]*>")
@@ -150,12 +149,6 @@ def _code(like: np.ndarray, strength: float):
     return run
 
 
-def _level(k: int):
-    """The last ``k`` labels of the host, or null if it has fewer."""
-    parts = F.split("host", r"\.")
-    return F.when((F.col("host") != "") & (F.size(parts) >= k), F.substring_index("host", ".", -k))
-
-
 def _sums(n: int):
     return F.array(*(F.sum(F.element_at("post", i + 1)) for i in range(n)))
 
@@ -185,22 +178,20 @@ def identify(
     )
     # P(declared | language), over all pages, with a floor for pairs never seen.
     odds = _declared_odds(coded, n)
-    # Host tables, from the whole down to the host: one small row per host, then one join.
+    # Host tables, from the whole down to the host: hosts are dealt to all their suffixes, then one join.
     whole = coded.agg(_sums(n).alias("s0"), F.count(F.lit(1)).cast("double").alias("n0")).head()
     hosts = coded.groupBy("host").agg(_sums(n).alias("sums"), F.count(F.lit(1)).cast("double").alias("pages"))
     hosts = materialise(hosts)
-    levels = hosts
-    for k in range(1, LEVELS + 1):
-        name = _level(k) if k < LEVELS else F.when(F.col("host") != "", F.col("host"))
-        summed = (
-            hosts.select(name.alias(f"l{k}"), F.col("sums").alias("post"), "pages")
-            .where(F.col(f"l{k}").isNotNull())
-            .groupBy(f"l{k}")
-            .agg(_sums(n).alias(f"s{k}"), F.sum("pages").alias(f"n{k}"))
-        )
-        levels = levels.withColumn(f"l{k}", name).join(summed, f"l{k}", "left")
-    levels = levels.select("host", *(c for k in range(1, LEVELS + 1) for c in (f"s{k}", f"n{k}")))
-    joined = coded.join(levels, "host")
+    depth = F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\."))))
+    named = hosts.where("host <> ''").select("host", depth.alias("k"), F.col("sums").alias("post"), "pages")
+    named = named.withColumn("suffix", F.expr("substring_index(host, '.', -k)"))
+    summed = named.groupBy("suffix").agg(_sums(n).alias("s"), F.sum("pages").alias("n"))
+    above = named.select("host", "k", "suffix").join(summed, "suffix").select("host", F.struct("k", "s", "n").alias("level"))
+    alone = hosts.where("host <> ''").select(
+        "host", F.struct(F.lit(1 << 30).alias("k"), F.col("sums").alias("s"), F.col("pages").alias("n")).alias("level")
+    )
+    levels = above.unionAll(alone).groupBy("host").agg(F.sort_array(F.collect_list("level")).alias("levels"))
+    joined = coded.join(levels, "host", "left")
     total = whole["n0"] or 0.0
     prior = F.array(
         *(
@@ -208,18 +199,18 @@ def identify(
             for i in range(n)
         )
     )
-    joined = joined.withColumn("p0", prior)
-    for k in range(1, LEVELS + 1):
-        step = F.array(
-            *(
-                (F.greatest(F.element_at(f"s{k}", i + 1) - F.element_at("post", i + 1), F.lit(0.0)) + kappa * F.element_at(f"p{k - 1}", i + 1))
-                / (F.col(f"n{k}") - 1 + kappa)
-                for i in range(n)
-            )
-        )
-        joined = joined.withColumn(f"p{k}", F.when(F.col(f"n{k}").isNull(), F.col(f"p{k - 1}")).otherwise(step))
+    fold = F.aggregate(
+        "levels",
+        prior,
+        lambda p, level: F.zip_with(
+            F.zip_with(level["s"], F.col("post"), lambda x, own_: F.greatest(x - own_, F.lit(0.0))),
+            p,
+            lambda x, up: (x + kappa * up) / (level["n"] - 1 + kappa),
+        ),
+    )
+    joined = joined.withColumn("prior", F.when(F.col("levels").isNull(), prior).otherwise(fold))
     raw = joined.join(odds, "declared").withColumn(
-        "raw", F.array(*(F.element_at("post", i + 1) * F.element_at(f"p{LEVELS}", i + 1) * F.element_at("likely", i + 1) for i in range(n)))
+        "raw", F.array(*(F.element_at("post", i + 1) * F.element_at("prior", i + 1) * F.element_at("likely", i + 1) for i in range(n)))
     )
     names = F.array(*map(F.lit, langs))
     best = F.array_max("raw")
