@@ -127,7 +127,6 @@ _WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
-_RARE = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _ANY = "(?:" + "|".join(_WORDS) + ")"
 #: A run of three spelled digits or more, single digits allowed between, "plus" before.
 _RUN = re.compile(rf"(?:\bplus[\s,.-]+)?\b{_ANY}(?:[\s,-]+(?:{_ANY}|[0-9]+|dot|point)\b){{2,}}", re.IGNORECASE)
@@ -150,6 +149,9 @@ _STOP = r"(?:\s{0,8}\.\s{0,8}|\s{1,8}(?:dot|point)\s{1,8})"
 _DOTTED = re.compile(
     rf"(?<![0-9.])[0-9]{{1,3}}{_STOP}(?:[0-9]{{1,3}}{_STOP}){{2}}[0-9]{{1,3}}(?![0-9])", re.IGNORECASE
 )
+# What a text must hold for the two patterns to call for an edit.
+_HAS_AT = re.compile(r"@|\sat\s", re.IGNORECASE)
+_HAS_JOINT = re.compile(r"\.\s|\s\.|\s(?:dot|point)\s", re.IGNORECASE)
 _JOINT = re.compile(r"\s+(?:dot|point)\s+|\s*\.\s*", re.IGNORECASE)
 
 
@@ -221,7 +223,7 @@ def glyph_edits(text: str) -> list[tuple[int, int, str]]:
 
 def digit_edits(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
-    if not any(w in low for w in _RARE):
+    if not any(w in low for w in _WORDS):
         return []
     out = []
     for m in _RUN.finditer(text):
@@ -235,7 +237,6 @@ def digit_edits(text: str) -> list[tuple[int, int, str]]:
 
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
-    low = text.lower()
     if any(c in text for c in "([{<"):
         for m in _BRACKET.finditer(text):
             out.append((m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arroba") else "."))
@@ -244,13 +245,13 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
     def free(lo: int, hi: int) -> bool:
         return not any(s < hi and lo < e for s, e in taken)
 
-    if "dot" in low or "@" in text:
+    if _HAS_AT.search(text):
         for m in _SPOKEN.finditer(text):
             for sign in _SIGN.finditer(text, m.start(), m.end()):
                 word = (sign[1] or "at").lower()
                 if sign[0] != "@" and free(sign.start(), sign.end()):
                     out.append((sign.start(), sign.end(), "@" if word == "at" else "."))
-    if "dot" in low or "point" in low or " ." in text or ". " in text:
+    if _HAS_JOINT.search(text):
         for m in _DOTTED.finditer(text):
             for sign in _JOINT.finditer(text, m.start(), m.end()):
                 if sign[0] != "." and free(sign.start(), sign.end()):
