@@ -112,13 +112,27 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def join_counted(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose ``n`` is at least the key's rows in ``many``.
+
+    ``total`` is the sum of ``n``, so at most four keys a shuffle partition (65,536 in all) have more than
+    that share of it.  These alone are sent to the rows where they lie; the rest is shuffled, and no key
+    of it outweighs its partition.
+    """
+    parts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = F.lit(max(1, total // min(4 * parts, 1 << 16)))
+    hot, cold = one.where(F.col("n") > limit).drop("n"), one.where(F.col("n") <= limit).drop("n")
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(cold, key).unionByName(many.join(F.broadcast(hot), key))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star steps.
 
     Returns ``(node, component)`` for every node of an edge, ``component`` being the smallest
-    node reachable.  Each step is a grouped minimum and an equi-join, so a hub is pre-aggregated
-    and its join side can be split; no adjacency list is ever gathered.  Every round is written
-    to scratch and the round before it deleted.
+    node reachable.  Each step is a grouped minimum, pre-aggregated before its shuffle, and an equi-join
+    in which hubs are met apart (:func:`join_counted`); no adjacency list is ever gathered.  Every
+    round is written to scratch and the round before it deleted.
     """
     now = materialise(
         edges.select(
@@ -134,12 +148,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
             now.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        many = F.count(F.lit(1)).alias("n")
+        least = both.groupBy(F.col("u").alias("b")).agg(F.least(F.min("v"), F.col("u")).alias("m"), many)
         # Only the upper end of an edge moves: (a, b) with a > b becomes (a, least of b and around b).
-        large = now.join(least.withColumnRenamed("u", "b"), "b").select("a", F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = join_counted(now, least, "b", 2 * mark[0]).select("a", F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), many)
         small = (
-            large.join(least, "a")
+            join_counted(large, least, "a", mark[0])
             .select(
                 F.explode(
                     F.array(

@@ -16,24 +16,25 @@ Pairs are found without comparing everything with everything:
   looked at, and the maximum coordinate difference discards nearly all of it.
 * *Verification.*  Survivors are compared bit by bit.
 
-A bucket sends on a spanning forest of its matches, never all its pairs: in a large bucket rows that
-are linked already are not compared with one another again.  Buckets above ``most`` rows (one tight
-cluster) are cut into chunks and each pair of chunks goes to a task of its own.
+A bucket sends on a spanning forest of its matches, never all its pairs: rows that are linked already
+are not compared with one another again.  A bucket too large for a task is first cut into chunks that
+share some of its rows; what that leaves unlinked, and only that, then meets the rest of the bucket
+(:func:`link_buckets`), so a tight cluster costs in proportion to its size.
 
 :func:`near_dedup` links by a number of bits and finds every such pair.  :func:`similar_dedup` links by
-the Jaccard similarity of the shingle sets, and finds every such pair too.  Candidates are met in two ways:
+the Jaccard similarity of the shingle sets, and finds every such pair too.  Majority bits cannot promise
+that at 0.8, where some 39 of 256 differ and more by chance, so fingerprints are linear there:
 
-* *Prefixes.*  Two sets of similarity ``s`` share one of the first ``m - ceil(s * m) + 1`` of their ``m``
+* *Partition.*  Two sets of similarity ``s`` share one of the first ``m - ceil(s * m) + 1`` of their ``m``
   shingles in any order of all shingles, so every pair meets under a shingle of its prefixes.  The order is
   from rare to common, by counts of a sample; it decides how large buckets are, never what is found.
-  In a bucket, 1024-bit parities of the sets are compared: they never differ in more places than
-  the sets do (:func:`link_parities`), so no pair is lost here either.
-* *Fingerprints* of 256 bits.  At a similarity of 0.8 some 39 bits differ, which leaves few whole segments
-  and nothing for coordinate differences to discard, so tables are keyed by stable parts: in each of several
-  groups of bits, the bit whose count is the most lopsided, and its side.
-
-The components of candidates are handed out whole, and in each every two shingle sets are compared in
-full (:func:`link_sets`), so that no link is below the similarity asked for.
+  The rule is the same at every size of corpus.
+* *Pivots.*  A fingerprint has 1024 bits, each the parity of the shingles that fall on its place, so
+  two of them never differ in more bits than the sets do in shingles.  By size, then by distances to
+  reference fingerprints, then by all bits, pairs are discarded that cannot be similar
+  (:func:`link_parities`).
+* *Verification.*  The components of the pairs that remain are handed out, and in each the shingle sets
+  are compared in full (:func:`link_sets`), so that no link is below the similarity asked for.
 
 Defined results.  A null text counts as empty; documents without words have fingerprint zero and
 are linked like any other.  Fewer words than a shingle make one shingle of them all.  Rows that
@@ -51,11 +52,11 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import arrow_map, batches, components, materialise, rows
+from tidemark.llm.common import arrow_map, batches, components, join_counted, materialise, rows
 
 SEED = 42
 BITS = 64
@@ -131,54 +132,6 @@ def fingerprint(text: bytes | None, size: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-WORDS = 4  # of a wide fingerprint
-GROUP = 64  # bits from which a key takes the most lopsided one
-_AGREE = 0.445  # how often two sets of similarity 0.8 agree on that bit and its side
-
-
-def wide(text: bytes | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """A 256-bit SimHash (four words) of the *set* of shingles, and the lopsidedness of each bit.
-
-    Repeats count once here: with them, two texts that repeat one passage would look alike.
-    """
-    return wide_of(np.unique(shingle_hashes(text, size)))
-
-
-def wide_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`wide` of a set of shingle hashes."""
-    lanes = hashes[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    lanes = (lanes ^ (lanes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    lanes = (lanes ^ (lanes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    tilt = 2 * _counts(lanes ^ (lanes >> np.uint64(31))) - len(hashes)
-    return np.packbits(tilt > 0, bitorder="little").view("<u8"), tilt
-
-
-def key_groups(parts: int) -> np.ndarray:
-    """Bit places of each table's ``parts`` groups, fixed; tables for 99 of 100 pairs, were they
-    independent.  They share bits and are not; what they miss is met by prefixes."""
-    n = int(np.ceil(np.log(100) / _AGREE**parts))
-    rng = np.random.Generator(np.random.PCG64(SEED))
-    return np.stack([[rng.permutation(BITS * WORDS)[:GROUP] for _ in range(parts)] for _ in range(n)])
-
-
-def lopsided_keys(tilt: np.ndarray, groups: np.ndarray) -> list[int]:
-    """A key per table: in each group the most lopsided bit's place and side."""
-    values = tilt[groups]
-    place = np.abs(values).argmax(axis=2)
-    side = np.take_along_axis(values, place[:, :, None], axis=2)[:, :, 0] > 0
-    code = 2 * place + side
-    shift = 7 * np.arange(groups.shape[1])
-    return (code << shift).sum(axis=1).tolist()
-
-
-def radius_of(similarity: float) -> int:
-    """Bits of 256 that candidates of fingerprints may differ in: two standard deviations above what is
-    expected at a Jaccard similarity of the shingle sets.  Prefixes meet the pairs beyond."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = BITS * WORDS
-    return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -213,11 +166,20 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints (rows of words) to the reference fingerprints."""
-    w = fp.shape[1]
-    pivots = PIVOTS[: len(PIVOTS) // w * w].reshape(-1, w)
-    return np.stack([_distance(fp, p) for p in pivots], axis=1)
+def pivot_table(fp: np.ndarray, count: int = len(PIVOTS)) -> np.ndarray:
+    """Hamming distances of fingerprints (rows of words) to ``count`` reference fingerprints, a row each."""
+    pivots = _pivots(count * fp.shape[1]).reshape(count, -1)
+    return np.stack([_distance(fp, p) for p in pivots])
+
+
+def _discard(table: np.ndarray, rows_: np.ndarray, x: int, most) -> np.ndarray:
+    """The ``rows_`` whose distances to the references differ from those of ``x`` by ``most`` at most."""
+    for column in table:
+        if len(rows_) < 16:
+            break
+        gap = np.abs(column[rows_] - column[x]) <= (most if np.isscalar(most) else most[rows_])
+        rows_ = rows_[gap]
+    return rows_
 
 
 def link_arrays(
@@ -229,32 +191,31 @@ def link_arrays(
     differs are compared, or all where it is below 0.
     """
     table = pivot_table(fp)
-    order = np.lexsort((table[:, 0], bucket))
-    bucket, fp, table = bucket[order], fp[order], table[order]
+    order = np.lexsort((table[0], bucket))
+    bucket, fp, table = bucket[order], fp[order], np.ascontiguousarray(table[:, order])
     side = None if cross is None else cross[order]
     root = np.arange(len(fp))
     left, step = np.arange(len(fp)), 0
-    if side is None:
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        sizes = np.diff(np.r_[starts, len(bucket)])
-        for k in np.flatnonzero(sizes > large):
-            _sweep(root, np.arange(starts[k], starts[k] + sizes[k]), fp, table, radius)
-        left = left[np.repeat(sizes <= large, sizes)]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    sizes = np.diff(np.r_[starts, len(bucket)])
+    for k in np.flatnonzero(sizes > large):
+        _sweep(root, np.arange(starts[k], starts[k] + sizes[k]), fp, table, radius, side)
+    left = left[np.repeat(sizes <= large, sizes)]
     while len(left):
         step += 1
         left = left[left + step < len(fp)]
         right = left + step
-        near = (bucket[left] == bucket[right]) & (table[right, 0] - table[left, 0] <= radius)
+        near = (bucket[left] == bucket[right]) & (table[0, right] - table[0, left] <= radius)
         left, right = left[near], right[near]
         a, b = left, right
         if side is not None:
             apart = (side[a] != side[b]) | (side[a] < 0)
             a, b = a[apart], b[apart]
-        for first in range(1, table.shape[1], 5):
+        for column in table[1:]:
             if not len(a):
                 break
-            gap = np.abs(table[a, first : first + 5] - table[b, first : first + 5]).max(axis=1)
-            a, b = a[gap <= radius], b[gap <= radius]
+            near = np.abs(column[a] - column[b]) <= radius
+            a, b = a[near], b[near]
         if len(a):
             same = _distance(fp[a], fp[b]) <= radius
             _join(root, a[same], b[same])
@@ -263,27 +224,28 @@ def link_arrays(
     return out
 
 
-def _sweep(root: np.ndarray, rest: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> None:
+def _sweep(
+    root: np.ndarray, rest: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int, side: np.ndarray | None = None
+) -> None:
     """Components of one large bucket, breadth first: a row that is reached is never compared with
     another that was, so a tight cluster takes time in proportion to its size."""
+    first_column = table[0]
     while len(rest):
         first, rest = rest[0], rest[1:]
         todo = [first]
         while todo and len(rest):
             x = todo.pop()
-            lo, hi = np.searchsorted(table[rest, 0], [table[x, 0] - radius, table[x, 0] + radius + 1])
-            if lo == hi:
-                continue
-            window = rest[lo:hi]
-            near = np.abs(table[window] - table[x]).max(axis=1) <= radius
-            hit = np.zeros(len(rest), bool)
-            seen = np.flatnonzero(near)
-            hit[lo + seen] = _distance(fp[window[seen]], fp[x]) <= radius
-            if hit.any():
-                found = rest[hit]
+            own = first_column[rest]
+            lo, hi = np.searchsorted(own, [first_column[x] - radius, first_column[x] + radius + 1])
+            found = rest[lo:hi]
+            if side is not None:
+                found = found[(side[found] != side[x]) | (side[found] < 0)]
+            found = _discard(table[1:], found, x, radius)
+            found = found[_distance(fp[found], fp[x]) <= radius]
+            if len(found):
                 root[found] = first
                 todo.extend(found.tolist())
-                rest = rest[~hit]
+                rest = np.delete(rest, np.searchsorted(rest, found))
 
 
 def _flat(root: np.ndarray) -> np.ndarray:
@@ -364,48 +326,62 @@ def links(classes: DataFrame, n_classes: int, radius: int = 4, most: int = 1 <<
         )
     )
     dealt = classes.select("fp", "rep", F.explode(keys).alias("k")).select("k.slot", "k.key", "fp", "rep")
-    return link_buckets(dealt, radius, most)
+    return link_buckets(dealt, _linker(radius), most)
+
+
+_DEALT = ("slot", "key", "part", "side", "fp", "rep")
 
 
-def link_buckets(dealt: DataFrame, radius: int, most: int = 1 << 16, linker: Callable | None = None) -> DataFrame:
-    """``a, b``: a spanning forest of the matches in each bucket ``(slot, key)`` of ``(fp, rep)``.
+def link_buckets(
+    dealt: DataFrame, linker: Callable, most: int, every: int = 64, weight: Column | None = None
+) -> DataFrame:
+    """``a, b``: a spanning forest of what ``linker`` matches in each bucket ``(slot, key)`` of ``(fp, rep)``.
+
+    Buckets of weight (rows, if none is given) over ``most`` are looked for among one of ``every`` rows, so
+    that the rows themselves are shuffled once.  Such a bucket is linked in two steps:
 
-    Matches are fingerprints within ``radius`` bits, or what ``linker`` finds.
+    * it is cut into chunks of half of ``most``, one row of 32 chunks' rows goes to all of them besides, and
+      each chunk is linked alone;
+    * rows outside the bucket's largest component by then are *loose*.  Blocks of them meet every
+      chunk and one another, so every pair has been compared or is in that component.
     """
-    hot = dealt.groupBy("slot", "key").count().where(F.col("count") > most)
-    hot = materialise(hot)
-    none = F.lit(-1).cast("long")
+    keys, none, zero = ["slot", "key"], F.lit(-1).cast("long"), F.lit(0).cast("long")
+    weight = F.lit(1) if weight is None else weight
+    some = dealt if every == 1 else dealt.where(F.pmod(F.xxhash64(F.lit(13), "rep"), F.lit(every)) == 0)
+    sums = some.groupBy(keys).agg((F.sum(weight) * every).alias("size")).where(F.col("size") > most)
+    hot = materialise(sums.select(*keys, F.ceil(2 * F.col("size") / most).alias("n")))
     if hot.isEmpty():
-        split = dealt.select("slot", "key", none.alias("part"), none.alias("side"), "fp", "rep")
-    else:
-        parts = hot.select("slot", "key", F.ceil(F.col("count") / (most // 2)).alias("n"))
-        joined = dealt.join(parts, ["slot", "key"], "left").withColumn(
-            "side", F.pmod(F.xxhash64("fp"), F.col("n"))
-        )
-        cold = joined.where("n IS NULL").select(
-            "slot", "key", none.alias("part"), none.alias("side"), "fp", "rep"
-        )
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-        pairs = (
-            joined.where("n IS NOT NULL")
-            .withColumn("other", other)
-            .select(
-                "slot",
-                "key",
-                (F.least("side", "other") * F.col("n") + F.greatest("side", "other")).alias("part"),
-                F.when(F.col("side") == F.col("other"), none).otherwise(F.col("side")).alias("side"),
-                "fp",
-                "rep",
-            )
-        )
-        # A chunk meets itself with side -1 (all pairs) and every other chunk with its own side.
-        split = cold.unionAll(pairs)
-    dealt = split.repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part")
-    return arrow_map(
-        dealt.select(F.col("slot").cast("long"), "key", "part", "side", "fp", "rep"),
-        linker or _linker(radius),
-        "a long, b long",
-    )
+        return _linked(dealt.withColumn("part", none).withColumn("side", none), linker)
+    cold = _linked(dealt.join(hot, keys, "left_anti").withColumn("part", none).withColumn("side", none), linker)
+    inside = dealt.join(hot, keys).withColumn("chunk", F.pmod(F.xxhash64(F.lit(17), "rep"), F.col("n")))
+    inside = materialise(inside.withColumn("weight", weight))
+    leads = F.pmod(F.xxhash64(F.lit(19), "rep"), 32 * F.col("n")) == 0
+    away = inside.where(leads).withColumn("part", F.explode(F.sequence(zero, F.col("n") - 1))).where("part <> chunk")
+    chunks = inside.withColumn("part", F.col("chunk")).select(*_DEALT[:3], "fp", "rep")
+    first = materialise(_linked(chunks.unionAll(away.select(*chunks.columns)).withColumn("side", none), linker))
+    found = components(first)
+    named = inside.join(found, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
+    named = materialise(named.select(*keys, "fp", "rep", "weight", "n", "chunk", "c"))
+    tally = named.groupBy(*keys, "c").agg(F.sum("weight").alias("w"))
+    tally = tally.groupBy(keys).agg(F.max_by("c", F.struct("w", "c")).alias("main"), (F.sum("w") - F.max("w")).alias("loose"))
+    tally = tally.where("loose > 0").select(*keys, "main", F.ceil(2 * F.col("loose") / most).alias("g"))
+    split = named.join(tally, keys).withColumn("block", F.pmod(F.xxhash64(F.lit(23), "rep"), F.col("g")))
+    to = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    main = split.where("c = main").withColumn("to", to("g")).withColumn("part", F.col("chunk") * F.col("g") + F.col("to"))
+    loose = split.where("c <> main").withColumn("to", to("n")).withColumn("part", F.col("to") * F.col("g") + F.col("block"))
+    pairs = split.where("c <> main").withColumn("to", to("g"))
+    pairs = pairs.withColumn(
+        "part", (F.col("n") + F.least("block", "to")) * F.col("g") + F.greatest("block", "to")
+    ).withColumn("side", F.when(F.col("block") == F.col("to"), none).otherwise(F.col("block")))
+    second = main.withColumn("side", zero).select(*_DEALT).unionAll(loose.withColumn("side", zero + 1).select(*_DEALT))
+    second = _linked(second.unionAll(pairs.select(*_DEALT)), linker)
+    return cold.unionAll(first).unionAll(second)
+
+
+def _linked(dealt: DataFrame, linker: Callable) -> DataFrame:
+    by = ["slot", "key", "part"]
+    own = dealt.select(F.col("slot").cast("long"), *_DEALT[1:])
+    return arrow_map(own.repartition(*by).sortWithinPartitions(*by), linker, "a long, b long")
 
 
 def near_dedup(
@@ -417,13 +393,13 @@ def near_dedup(
 ) -> DataFrame:
     """``doc_id, fp, component_id``, one row per input row."""
     prints = materialise(fingerprints(docs, size, id_col, text_col))
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = classes.where("rep IS NOT NULL")
-    found = components(links(named, named.count(), radius))
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    n_classes, n_rows = classes.agg(F.count("rep"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    found = components(links(classes.where("rep IS NOT NULL").select("fp", "rep"), n_classes, radius))
     owners = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+        "fp", "n", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
+    return join_counted(prints, owners, "fp", n_rows).select("doc_id", "fp", "component_id")
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary())])
@@ -435,6 +411,7 @@ def digest_of(hashes: np.ndarray) -> bytes:
 
 
 PLACES = 1 << 20  # of the sketch of shingle counts
+COMMON = 16  # texts of the sample that have a shingle which is known to be shared
 PARITY = 16  # words
 
 
@@ -448,7 +425,7 @@ def _sketch(size: int):
     return run
 
 
-def shingle_counts(own: DataFrame, n: int, size: int, sample: int = 20_000) -> np.ndarray:
+def shingle_counts(own: DataFrame, n: int, size: int, sample: int = 5_000) -> np.ndarray:
     """How often shingles occur in about ``sample`` of the ``n`` texts, by ``PLACES`` places of their hash."""
     share = int(min(1.0, sample / max(1, n)) * (1 << 40))
     picked = own.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 40)) < F.lit(share)).select("text")
@@ -476,7 +453,7 @@ def link_parities(
     less similar".  Arguments as for :func:`link_arrays`, with rows of :func:`parity`."""
     sizes = fp[:, 0].astype(np.int64)
     order = np.lexsort((sizes, bucket))
-    bucket, sizes, bits = bucket[order], sizes[order], fp[order, 1:]
+    bucket, sizes, bits = bucket[order], sizes[order], np.ascontiguousarray(fp[order, 1:])
     side = None if cross is None else cross[order]
     share = (1 - similarity) / (1 + similarity)
     root = np.arange(len(fp))
@@ -484,21 +461,9 @@ def link_parities(
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     lengths = np.diff(np.r_[starts, len(bucket)])
     for k in np.flatnonzero(lengths > large):
-        rest = np.arange(starts[k], starts[k] + lengths[k])
-        while len(rest):
-            first, rest = rest[0], rest[1:]
-            todo = [first]
-            while todo and len(rest):
-                x = todo.pop()
-                lo, hi = np.searchsorted(sizes[rest], (sizes[x] * similarity - 1e-6, sizes[x] / similarity + 1e-6))
-                window = rest[lo:hi]
-                near = _distance(bits[window], bits[x]) <= (sizes[window] + sizes[x]) * share + 1e-6
-                if side is not None:
-                    near &= (side[window] != side[x]) | (side[x] < 0)
-                if near.any():
-                    root[window[near]] = first
-                    todo.extend(window[near].tolist())
-                    rest = np.delete(rest, lo + np.flatnonzero(near))
+        at = slice(starts[k], starts[k] + lengths[k])
+        table = pivot_table(bits[at], 8)
+        _sweep_parities(root[at], sizes[at], bits[at], table, similarity, None if side is None else side[at], starts[k])
     left = left[np.repeat(lengths <= large, lengths)]
     while len(left):
         step += 1
@@ -518,38 +483,61 @@ def link_parities(
     return out
 
 
-def prefix_links(classes: DataFrame, similarity: float, most: int = 1 << 16) -> DataFrame:
-    """``a, b``: a spanning forest, bucket by bucket, of classes ``(rep, code, parity, prefix)`` that share
-    a shingle of their prefixes and may be similar.
+def _sweep_parities(root, sizes, bits, table, similarity: float, side, offset: int) -> None:
+    """:func:`_sweep` for one bucket's rows in the order of their sizes."""
+    share = (1 - similarity) / (1 + similarity)
+    rest = np.arange(len(sizes))
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        todo = [first]
+        while todo and len(rest):
+            x = todo.pop()
+            lo, hi = np.searchsorted(sizes[rest], (sizes[x] * similarity - 1e-6, sizes[x] / similarity + 1e-6))
+            found = rest[lo:hi]
+            if side is not None:
+                found = found[(side[found] != side[x]) | (side[found] < 0)]
+            if len(found) > 16:
+                found = _discard(table, found, x, (sizes + sizes[x]) * share + 1e-6)
+            found = found[_distance(bits[found], bits[x]) <= (sizes[found] + sizes[x]) * share + 1e-6]
+            if len(found):
+                root[found] = first + offset
+                todo.extend(found.tolist())
+                rest = np.delete(rest, np.searchsorted(rest, found))
 
-    Shingles and codes are dealt first, and parities follow only where a shingle is shared.
+
+def prefix_links(classes: DataFrame, similarity: float, most: int = 1 << 16, every: int = 64) -> DataFrame:
+    """``a, b``: a spanning forest, bucket by bucket, of classes ``(rep, code, parity, common, prefix)`` that
+    share a shingle of their prefixes and may be similar.
+
+    Shingles and codes are dealt first, and parities follow only where a shingle is shared.  Shingles in
+    ``common`` are known to be shared, so that none of them is counted in one task.
     """
     dealt = classes.select("code", F.explode("prefix").alias("key"))
     shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "code")
+    shared = shared.unionAll(classes.select(F.explode("common").alias("key"), "code"))
     met = shared.join(classes.select("code", "rep", F.col("parity").alias("fp")), "code")
-    met = materialise(met.select(F.lit(0).alias("slot"), "key", "fp", "rep"))
-    return link_buckets(met, 0, most, _linker(similarity, 1 << 15, link_parities))
+    met = materialise(met.select(F.lit(0).cast("long").alias("slot"), "key", "fp", "rep"))
+    return link_buckets(met, _linker(similarity, 1 << 15, link_parities), most, every)
+
 
+_PREFIX_SPEC = "doc_id long, digest binary, code long, parity binary, common array<long>, prefix array<long>"
 
-def _wide_prints(size: int, groups: np.ndarray, similarity: float, counts: np.ndarray):
+
+def _prefixes(size: int, similarity: float, counts: np.ndarray):
+    long, many = pa.int64(), pa.list_(pa.int64())
     schema = pa.schema(
-        [
-            ("doc_id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())),
-            ("code", pa.int64()), ("parity", pa.binary()), ("prefix", pa.list_(pa.int64())),
-        ]
-    )
+        [("doc_id", long), ("digest", pa.binary()), ("code", long), ("parity", pa.binary()), ("common", many), ("prefix", many)]
+    )
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
             for ident, text in rows(parts):
                 hashes = np.unique(shingle_hashes(text, size))
-                fp, tilt = wide_of(hashes)
                 digest = digest_of(hashes)
-                first = prefix(hashes, similarity, counts).view(np.int64).tolist()
-                yield (
-                    ident, fp.tobytes(), digest, lopsided_keys(tilt, groups),
-                    int.from_bytes(digest[:8], "little", signed=True), parity(hashes).tobytes(), first,
-                )
+                first = prefix(hashes, similarity, counts)
+                common = counts[first & np.uint64(PLACES - 1)] >= COMMON
+                code = int.from_bytes(digest[:8], "little", signed=True)
+                yield ident, digest, code, parity(hashes).tobytes(), first[common].view(np.int64), first[~common].view(np.int64)
 
         yield from batches(records(), schema, 512)
 
@@ -637,51 +625,45 @@ def _set_linker(similarity: float):
     return run
 
 
-def verified(own: DataFrame, classes: DataFrame, found: DataFrame, size: int, similarity: float, most: int = 1 << 11) -> DataFrame:
+def verified(own: DataFrame, classes: DataFrame, found: DataFrame, size: int, similarity: float, most: int = 8 << 20) -> DataFrame:
     """``a, b``: a spanning forest of the classes ``(digest, rep)`` whose sets are similar, looked for
-    within the components ``found`` of candidates."""
+    within the components ``found`` of candidates.  A task holds about ``most`` bytes of sets."""
     members = classes.join(found, F.col("rep") == F.col("node")).select("digest", "rep", F.col("component").alias("key"))
-    texts = own.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = materialise(members)
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    # Eight bytes a candidate: sent to the texts while that is under 16 MB, else texts are shuffled.
+    wanted = F.broadcast(wanted) if members.count() <= 1 << 21 else wanted
+    texts = own.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi")
     sets = arrow_map(texts.select("doc_id", "text"), _sets(size), "doc_id long, digest binary, fp binary")
-    dealt = sets.withColumnRenamed("doc_id", "rep").join(members, ["digest", "rep"])
-    dealt = materialise(dealt.select(F.lit(0).alias("slot"), "key", "fp", "rep"))
-    return link_buckets(dealt, 0, most, _set_linker(similarity))
+    dealt = sets.withColumnRenamed("doc_id", "rep").join(members, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
+    dealt = materialise(dealt.select(F.lit(0).cast("long").alias("slot"), "key", "fp", "rep", F.length("fp").alias("bytes")))
+    return link_buckets(dealt, _set_linker(similarity), most, 1, F.col("bytes"))
 
 
 def similar_dedup(
     docs: DataFrame,
     size: int = 5,
     similarity: float = 0.8,
-    bucket: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, fp, component_id``, one row per input row: texts linked whose ``size``-word shingle
-    sets have a Jaccard similarity of at least ``similarity``.
-
-    Candidates are met by prefixes, which is complete, and by fingerprints, whose keys' length follows
-    the number of rows, so that buckets of unrelated texts stay about ``bucket`` rows.
-    """
-    n = docs.count()
-    parts = 1
-    while parts < 8 and n >> (7 * parts) > bucket:
-        parts += 1
+    """``doc_id, component_id``, one row per input row: texts linked whose ``size``-word shingle sets have
+    a Jaccard similarity of at least ``similarity``; two texts without words are linked."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    spec = "doc_id long, fp binary, digest binary, keys array<long>, code long, parity binary, prefix array<long>"
-    maker = _wide_prints(size, key_groups(parts), similarity, shingle_counts(own, n, size))
-    prints = materialise(arrow_map(own, maker, spec))
-    classes = materialise(
-        prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "keys", "code", "parity", "prefix")))
+    n = own.count()
+    maker = _prefixes(size, similarity, shingle_counts(own, n, size))
+    prints = materialise(arrow_map(own, maker, _PREFIX_SPEC))
+    columns = ("code", "parity", "common", "prefix")
+    classes = prints.groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in columns)
     )
+    classes = materialise(classes)
     named = classes.where("rep IS NOT NULL")
-    dealt = named.select("fp", "rep", F.posexplode("keys").alias("slot", "key"))
-    near = link_buckets(dealt.select("slot", "key", "fp", "rep"), radius_of(similarity))
-    near = near.unionAll(prefix_links(named, similarity))
-    found = components(verified(own, named.select("digest", "rep"), components(near), size, similarity))
-    owners = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    return prints.select("doc_id", "fp", "digest").join(owners, "digest").select("doc_id", "fp", "component_id")
+    near = components(prefix_links(named.select("rep", *columns), similarity))
+    found = components(verified(own, named.select("digest", "rep"), near, size, similarity))
+    owners = classes.select("digest", "rep", "n").join(found, F.col("rep") == F.col("node"), "left")
+    owners = owners.select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
+    return join_counted(prints.select("doc_id", "digest"), owners, "digest", n).select("doc_id", "component_id")
 
 
 def keep_first(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
