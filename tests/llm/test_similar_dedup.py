@@ -70,15 +70,16 @@ def test_prefixes_meet_every_pair(spark, monkeypatch, large, most):
     counts = np.zeros(simhash.PLACES, np.int32)
     common = rng.integers(0, 1 << 63, 3).astype(np.uint64)
     sets = []
-    for m in (1, 4, 5, 9, 10, 40, 41, 300):
+    for m in (1, 4, 5, 9, 10, 40, 41, 300, 510, 1040):
         for _ in range(8):
             base = np.r_[common, rng.integers(0, 1 << 63, m).astype(np.uint64)]
             sets += [np.unique(base), np.unique(np.r_[base[: len(base) - len(base) // 9], rng.integers(0, 1 << 63, len(base) // 9).astype(np.uint64)])]
     rows = []
     for i, h in enumerate(sets):
         first = simhash.prefix(h, 0.8, counts).view(np.int64).tolist()
-        rows.append((i, 1000 + i, bytearray(simhash.parity(h).tobytes()), first[:1], first[1:]))
-    classes = spark.createDataFrame(rows, "rep long, code long, parity binary, common array<long>, prefix array<long>")
+        slots, prints = simhash.parities(h, 0.8)
+        rows.append((i, 1000 + i, slots, [bytearray(x) for x in prints], first[:1], first[1:]))
+    classes = spark.createDataFrame(rows, "rep long, code long, slots array<int>, parities array<binary>, common array<long>, prefix array<long>")
     found = {r.node: r.component for r in simhash.components(simhash.prefix_links(classes, 0.8, most, every=1)).collect()}
     plain = [set(x.tolist()) for x in sets]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]

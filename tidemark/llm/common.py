@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -44,15 +45,34 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
+    _MADE.append(path)
     return out
 
 
+_MADE: list[str] = []
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Scratch tables made inside are deleted at the end, but for those of the frames put in the list."""
+    begin, keep = len(_MADE), []
+    yield keep
+    kept = [df._tidemark_path for df in keep]
+    for path in _MADE[begin:]:
+        if path not in kept:
+            _delete(path)
+    _MADE[begin:] = kept
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the scratch table behind a frame made by :func:`materialise`."""
     path = getattr(df, "_tidemark_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = SparkSession.active()
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -174,9 +194,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    out._tidemark_path = now._tidemark_path
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

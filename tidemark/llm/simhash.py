@@ -29,8 +29,9 @@ that at 0.8, where some 39 of 256 differ and more by chance, so fingerprints are
   shingles in any order of all shingles, so every pair meets under a shingle of its prefixes.  The order is
   from rare to common, by counts of a sample; it decides how large buckets are, never what is found.
   The rule is the same at every size of corpus.
-* *Pivots.*  A fingerprint has 1024 bits, each the parity of the shingles that fall on its place, so
-  two of them never differ in more bits than the sets do in shingles.  By size, then by distances to
+  Buckets with the same members are one: a cluster of copies shares all its shingles.
+* *Pivots.*  A fingerprint has two bits a shingle or more, each the parity of the shingles that fall on its
+  place, so two of them never differ in more bits than the sets do in shingles.  By size, then by distances to
   reference fingerprints, then by all bits, pairs are discarded that cannot be similar
   (:func:`link_parities`).
 * *Verification.*  The components of the pairs that remain are handed out, and in each the shingle sets
@@ -56,7 +57,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import arrow_map, batches, components, join_counted, materialise, rows
+from tidemark.llm.common import arrow_map, batches, components, join_counted, materialise, rows, temporary
 
 SEED = 42
 BITS = 64
@@ -266,23 +267,34 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         root[np.maximum(x, y)] = np.minimum(x, y)
 
 
+def _even(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Columns of a batch, fingerprints in words below the others, cut where the width changes."""
+    if not batch.num_rows:
+        return
+    other = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 3, 5)])
+    fp = batch.column(4)
+    if not pa.types.is_binary(fp.type):
+        yield np.concatenate([other, fp.to_numpy()[None, :]])
+        return
+    fp = fp.to_pylist()
+    lengths = np.array([len(x) for x in fp])
+    cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(fp)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield np.concatenate([other[:, lo:hi], np.frombuffer(b"".join(fp[lo:hi]), "<i8").reshape(hi - lo, -1).T])
+
+
 def _linker(radius: float, chunk: int = 1 << 17, link: Callable = link_arrays):
     """Over partitions sorted by (slot, key, part): forests of the buckets."""
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for batch in parts:
-            if not batch.num_rows:
-                continue
-            fp = batch.column(4)
-            if pa.types.is_binary(fp.type):
-                fp = np.frombuffer(b"".join(fp.to_pylist()), "<i8").reshape(batch.num_rows, -1).T
-            else:
-                fp = fp.to_numpy()[None, :]
-            other = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 3, 5)]
-            held.append(np.concatenate([np.stack(other), fp]))
-            size += batch.num_rows
+        for part in (piece for batch in parts for piece in _even(batch)):
+            if held and len(part) != len(held[0]):  # fingerprints of another width: of another slot
+                yield from emit(np.concatenate(held, axis=1))
+                held, size = [], 0
+            held.append(part)
+            size += part.shape[1]
             if size >= chunk:
                 block = np.concatenate(held, axis=1)
                 last = (block[:3] != block[:3, -1:]).any(axis=0)
@@ -354,17 +366,19 @@ def link_buckets(
         return _linked(dealt.withColumn("part", none).withColumn("side", none), linker)
     cold = _linked(dealt.join(hot, keys, "left_anti").withColumn("part", none).withColumn("side", none), linker)
     inside = dealt.join(hot, keys).withColumn("chunk", F.pmod(F.xxhash64(F.lit(17), "rep"), F.col("n")))
-    inside = materialise(inside.withColumn("weight", weight))
+    inside = inside.withColumn("weight", weight)
     leads = F.pmod(F.xxhash64(F.lit(19), "rep"), 32 * F.col("n")) == 0
     away = inside.where(leads).withColumn("part", F.explode(F.sequence(zero, F.col("n") - 1))).where("part <> chunk")
     chunks = inside.withColumn("part", F.col("chunk")).select(*_DEALT[:3], "fp", "rep")
     first = materialise(_linked(chunks.unionAll(away.select(*chunks.columns)).withColumn("side", none), linker))
     found = components(first)
     named = inside.join(found, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
-    named = materialise(named.select(*keys, "fp", "rep", "weight", "n", "chunk", "c"))
+    named = named.select(*keys, "fp", "rep", "weight", "n", "chunk", "c")
     tally = named.groupBy(*keys, "c").agg(F.sum("weight").alias("w"))
     tally = tally.groupBy(keys).agg(F.max_by("c", F.struct("w", "c")).alias("main"), (F.sum("w") - F.max("w")).alias("loose"))
-    tally = tally.where("loose > 0").select(*keys, "main", F.ceil(2 * F.col("loose") / most).alias("g"))
+    tally = materialise(tally.where("loose > 0").select(*keys, "main", F.ceil(2 * F.col("loose") / most).alias("g")))
+    if tally.isEmpty():
+        return cold.unionAll(first)
     split = named.join(tally, keys).withColumn("block", F.pmod(F.xxhash64(F.lit(23), "rep"), F.col("g")))
     to = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
     main = split.where("c = main").withColumn("to", to("g")).withColumn("part", F.col("chunk") * F.col("g") + F.col("to"))
@@ -412,7 +426,7 @@ def digest_of(hashes: np.ndarray) -> bytes:
 
 PLACES = 1 << 20  # of the sketch of shingle counts
 COMMON = 16  # texts of the sample that have a shingle which is known to be shared
-PARITY = 16  # words
+PARITY = 16  # words of the narrowest fingerprint, for sets of up to 32 shingles a word
 
 
 def _sketch(size: int):
@@ -440,12 +454,24 @@ def prefix(hashes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndar
     return hashes[np.lexsort((hashes, counts[hashes & np.uint64(PLACES - 1)]))[:take]]
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """The set's size and, for each of 1024 places of the hash, whether an odd number of shingles falls there."""
-    odd = np.bincount((hashes >> np.uint64(40)) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+def parity(hashes: np.ndarray, width: int = PARITY) -> np.ndarray:
+    """The set's size and, for each of ``64 * width`` places of the hash, whether an odd number of shingles
+    falls there."""
+    places = 64 * width
+    odd = np.bincount((hashes >> np.uint64(32)) % np.uint64(places), minlength=places) & 1
     return np.r_[np.uint64(len(hashes)), np.packbits(odd.astype(bool), bitorder="little").view("<u8")]
 
 
+def parities(hashes: np.ndarray, similarity: float) -> tuple[list[int], list[bytes]]:
+    """Slots and fingerprints of a set: the slot of its size, whose width doubles from slot to slot, and
+    those below in which a set of that similarity may be."""
+    slot = 0
+    while len(hashes) > 32 * PARITY << slot:
+        slot += 1
+    slots = [k for k in range(slot + 1) if k == slot or similarity * len(hashes) <= (32 * PARITY << k) + 1e-6]
+    return slots, [parity(hashes, PARITY << k).tobytes() for k in slots]
+
+
 def link_parities(
     bucket: np.ndarray, fp: np.ndarray, similarity: float, cross: np.ndarray | None = None, large: int = 256
 ) -> np.ndarray:
@@ -506,28 +532,43 @@ def _sweep_parities(root, sizes, bits, table, similarity: float, side, offset: i
 
 
 def prefix_links(classes: DataFrame, similarity: float, most: int = 1 << 16, every: int = 64) -> DataFrame:
-    """``a, b``: a spanning forest, bucket by bucket, of classes ``(rep, code, parity, common, prefix)`` that
-    share a shingle of their prefixes and may be similar.
+    """``a, b``: a spanning forest, bucket by bucket, of classes ``(rep, code, slots, parities, common, prefix)``
+    that share a slot and a shingle of their prefixes and may be similar.
 
-    Shingles and codes are dealt first, and parities follow only where a shingle is shared.  Shingles in
-    ``common`` are known to be shared, so that none of them is counted in one task.
+    Shingles and codes are dealt first.  A shingle that is shared gives way to a signature of the classes that
+    have it, so that buckets with the same members become one, and fingerprints follow only then.
+    Shingles in ``common`` are known to be shared, so that none of them is counted in one task.
     """
-    dealt = classes.select("code", F.explode("prefix").alias("key"))
-    shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "code")
-    shared = shared.unionAll(classes.select(F.explode("common").alias("key"), "code"))
-    met = shared.join(classes.select("code", "rep", F.col("parity").alias("fp")), "code")
-    met = materialise(met.select(F.lit(0).cast("long").alias("slot"), "key", "fp", "rep"))
+    key = F.xxhash64("slot", "shingle").alias("key")
+    deal = lambda c: classes.select("code", c, F.explode("slots").alias("slot")).select(
+        "slot", "code", F.explode(c).alias("shingle")
+    ).select("slot", "code", key)
+    mark = F.bit_xor(F.xxhash64("code"))
+    by = Window.partitionBy("key")
+    rare = deal("prefix").withColumn("n", F.count(F.lit(1)).over(by)).withColumn("sign", mark.over(by)).where("n > 1")
+    common = deal("common")
+    told = materialise(common.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark.alias("sign")))
+    total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    common = join_counted(common, told.withColumn("many", F.col("n")), "key", total).where("many > 1")
+    sign = lambda n: F.xxhash64("slot", "sign", n).alias("key")
+    shared = rare.select("slot", sign("n"), "code").unionAll(common.select("slot", sign("many"), "code")).distinct()
+    prints = classes.select("code", "rep", F.explode(F.arrays_zip("slots", "parities")).alias("p"))
+    prints = prints.select("code", "rep", F.col("p.slots").alias("slot"), F.col("p.parities").alias("fp"))
+    met = materialise(shared.join(prints, ["code", "slot"]).select("slot", "key", "fp", "rep"))
     return link_buckets(met, _linker(similarity, 1 << 15, link_parities), most, every)
 
 
-_PREFIX_SPEC = "doc_id long, digest binary, code long, parity binary, common array<long>, prefix array<long>"
+_PREFIX_SPEC = "doc_id long, digest binary, code long, slots array<int>, parities array<binary>, common array<long>, prefix array<long>"
 
 
 def _prefixes(size: int, similarity: float, counts: np.ndarray):
     long, many = pa.int64(), pa.list_(pa.int64())
     schema = pa.schema(
-        [("doc_id", long), ("digest", pa.binary()), ("code", long), ("parity", pa.binary()), ("common", many), ("prefix", many)]
-    )
+        [
+            ("doc_id", long), ("digest", pa.binary()), ("code", long), ("slots", pa.list_(pa.int32())),
+            ("parities", pa.list_(pa.binary())), ("common", many), ("prefix", many),
+        ]
+    )
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
@@ -537,7 +578,9 @@ def _prefixes(size: int, similarity: float, counts: np.ndarray):
                 first = prefix(hashes, similarity, counts)
                 common = counts[first & np.uint64(PLACES - 1)] >= COMMON
                 code = int.from_bytes(digest[:8], "little", signed=True)
-                yield ident, digest, code, parity(hashes).tobytes(), first[common].view(np.int64), first[~common].view(np.int64)
+                yield (
+                    ident, digest, code, *parities(hashes, similarity), first[common].view(np.int64), first[~common].view(np.int64),
+                )
 
         yield from batches(records(), schema, 512)
 
@@ -652,18 +695,25 @@ def similar_dedup(
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     n = own.count()
     maker = _prefixes(size, similarity, shingle_counts(own, n, size))
-    prints = materialise(arrow_map(own, maker, _PREFIX_SPEC))
-    columns = ("code", "parity", "common", "prefix")
-    classes = prints.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in columns)
-    )
-    classes = materialise(classes)
-    named = classes.where("rep IS NOT NULL")
-    near = components(prefix_links(named.select("rep", *columns), similarity))
-    found = components(verified(own, named.select("digest", "rep"), near, size, similarity))
-    owners = classes.select("digest", "rep", "n").join(found, F.col("rep") == F.col("node"), "left")
-    owners = owners.select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
-    return join_counted(prints.select("doc_id", "digest"), owners, "digest", n).select("doc_id", "component_id")
+    with temporary() as keep:
+        prints = materialise(arrow_map(own, maker, _PREFIX_SPEC))
+        columns = ("code", "slots", "parities", "common", "prefix")
+        classes = prints.groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in columns)
+        )
+        classes = materialise(classes)
+        named = classes.where("rep IS NOT NULL")
+        with temporary() as near_keep:
+            near = components(prefix_links(named.select("rep", *columns), similarity))
+            near_keep.append(near)
+        with temporary() as found_keep:
+            found = components(verified(own, named.select("digest", "rep"), near, size, similarity))
+            found_keep.append(found)
+        owners = classes.select("digest", "rep", "n").join(found, F.col("rep") == F.col("node"), "left")
+        owners = owners.select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
+        out = materialise(join_counted(prints.select("doc_id", "digest"), owners, "digest", n).select("doc_id", "component_id"))
+        keep.append(out)
+    return out
 
 
 def keep_first(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
