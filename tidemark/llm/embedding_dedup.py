@@ -8,7 +8,10 @@ vectors of a label form a class first.  The classes of a label are dealt to *cel
   centres, every class goes home to its nearest centre, and is lent to each other centre that is
   at most ``2 t`` farther (the triangle inequality: all partners of a class then meet it in its
   home cell).  Centres reach the rows by a co-partitioned merge, not by a broadcast;
-* cells that will not shrink are cut into chunks, and each pair of chunks is a task.
+* a round is taken only where it pays: the lending is measured on some rows of each large cell first, and
+  where a class would go to ``L`` of ``fan`` sub-cells with ``L * L >= fan``, splitting would send more rows
+  than it saves.  Such cells (unrelated vectors) are cut into chunks, and each pair of chunks is a task, so
+  that no class is ever sent more often than its label has chunks.
 
 In a cell a cover tree is built (nested centres, covering radii that halve from level to level,
 centres of a level farther apart than its radius) and walked in pairs of nodes: a pair farther
@@ -28,18 +31,21 @@ in the counts and one node in the components.  Only id, vector and label are rea
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, components, materialise
+from tidemark.llm.common import arrow_map, components, join_counted, materialise
 
-_OUT = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+_OUT = pa.schema([("digest", pa.binary()), ("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 _LEAF = 32
 _SLACK = 1e-7  # distances are trusted to this; nearer calls are settled by the cosine itself
 _BLOCK = 512
+_CENTRES = 64
 
 
 class CoverTree:
@@ -81,16 +87,23 @@ class CoverTree:
             first = np.flatnonzero(rest == self.centre[k])[0]  # nesting: the centre stays one
             rest[[0, first]] = rest[[first, 0]]
             while len(rest):
-                far = _far(self.points, rest[0], rest)
-                near = far <= reach
-                own = rest[near]
-                self.order[at : at + len(own)] = own
-                made.append(self._node(at, at + len(own), int(rest[0]), float(far[near].max())))
-                at += len(own)
-                rest = rest[~near]
+                # The first rows of the rest, one after the other, unless one before has taken them.
+                block = rest[:_CENTRES]
+                gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.points[block] @ self.points[rest].T)))
+                free = np.ones(len(rest), bool)
+                for c in range(len(block)):
+                    if not free[c]:
+                        continue
+                    near = np.flatnonzero((gap[c] <= reach) & free)
+                    free[near] = False
+                    self.order[at : at + len(near)] = rest[near]
+                    made.append(self._node(at, at + len(near), int(block[c]), float(gap[c, near].max())))
+                    at += len(near)
+                rest = rest[free]
             self.children[k] = np.array(made)
             todo.extend(made)
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
+        self.start, self.end = np.array(self.start), np.array(self.end)
 
     def below(self, k: int) -> np.ndarray:
         return self.order[self.start[k] : self.end[k]]
@@ -198,16 +211,17 @@ def dual(a: CoverTree, b: CoverTree, t: float, links: Links) -> None:
             meet = gap <= reach + t + _SLACK
             if own:
                 meet &= np.arange(len(down_b))[None, :] >= (at + np.arange(len(rows_)))[:, None]
-            inside = meet & (gap + reach <= t - _SLACK)
-            for x, y in zip(*np.nonzero(meet), strict=True):
-                p, q = int(rows_[x]), int(down_b[y])
-                if inside[x, y] and not (own and p == q):
-                    links.whole(a.below(p), b.below(q))
-                elif a.end[p] - a.start[p] == 1 == b.end[q] - b.start[q]:
-                    if not (own and p == q):
-                        links.test(a.below(p), b.below(q))
-                else:
-                    todo.append((p, q))
+            x, y = np.nonzero(meet)
+            p, q = rows_[x], down_b[y]
+            single = (a.end[p] - a.start[p] == 1) & (b.end[q] - b.start[q] == 1)
+            apart = (p != q) | (not own)
+            alone = single & apart
+            links.test(a.order[a.start[p[alone]]], b.order[b.start[q[alone]]])
+            inside = (gap[x, y] + reach[x, y] <= t - _SLACK) & apart & ~single
+            for u, v in zip(p[inside].tolist(), q[inside].tolist(), strict=True):
+                links.whole(a.below(u), b.below(v))
+            more = ~single & ~inside
+            todo.extend(zip(p[more].tolist(), q[more].tolist(), strict=True))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -277,7 +291,7 @@ def _solve(least: float):
             first = reps.copy()  # edges point at the smallest class, so that no hub is a source
             np.minimum.at(first, root, reps)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(reps), pa.array(first[root]), pa.array(count)], schema=_OUT
+                [table["digest"].chunk(0), pa.array(reps), pa.array(first[root]), pa.array(count)], schema=_OUT
             )
 
     return run
@@ -306,30 +320,62 @@ def _route(t: float, fan: int):
                 part = table.slice(at, 4096).combine_chunks().take(pa.array(i)).to_batches()[0]
                 home = np.asarray(part.column("home").to_pylist(), bool) & (nearest[i] == c)
                 cell = part.column("cell").to_numpy() * fan + c + 1
-                got = {f: part.column(f) for f in ("label", "rep", "n", "vec")}
+                got = {f: part.column(f) for f in ("label", "rep", "n", "vec", "digest")}
                 got |= {"cell": pa.array(cell), "home": pa.array(home)}
-                yield pa.RecordBatch.from_pydict({f: got[f] for f in ("label", "cell", "rep", "n", "vec", "home")})
+                yield pa.RecordBatch.from_pydict({f: got[f] for f in ("label", "cell", "rep", "n", "vec", "home", "digest")})
 
     return run
 
 
-_ROWS = "label string, cell long, rep long, n long, vec array<double>, home boolean"
+_ROWS = "label string, cell long, rep long, n long, vec array<double>, home boolean, digest binary"
 
 
-def _split(rows: DataFrame, big: DataFrame, t: float, cell: int, fan: int) -> DataFrame:
-    """Route the rows of cells ``big(label, cell, size)`` to sub-cells."""
+def _split(rows: DataFrame, big: DataFrame, t: float, cell: int, fan: int, some: int = 0) -> DataFrame:
+    """Route the rows of cells ``big(label, cell, size)``, or about ``some`` rows of each, to sub-cells."""
     inside = rows.join(big, ["label", "cell"])
-    share = F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    share = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "digest"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # Twice the centres wanted on average, at least some in any case; the first ``fan`` serve.
-    centres = inside.where(share * F.col("size") < 2.0 * fan).select("label", "cell", "rep", "n", "vec", "home", "size")
+    centres = inside.where(share(7) * F.col("size") < 2.0 * fan)
     salts = F.ceil(F.col("size") / cell)
     every = centres.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).withColumn("row", F.lit(False))
-    own = inside.withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "rep"), salts)).withColumn("row", F.lit(True))
-    both = own.select(*every.columns).unionByName(every).drop("size")
+    if some:
+        inside = inside.where(share(29) * F.col("size") < float(some))
+    own = inside.withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "digest"), salts)).withColumn("row", F.lit(True))
+    both = own.unionByName(every).drop("size")
     dealt = both.repartition("label", "cell", "salt").sortWithinPartitions("label", "cell", "salt", "row")
     return arrow_map(dealt, _route(t, fan), _ROWS)
 
 
+def _worth(rows: DataFrame, big: DataFrame, t: float, fan: int, some: int = 512) -> DataFrame:
+    """The cells of ``big`` whose rows would go to less than the root of ``fan`` sub-cells each, as told by
+    about ``some`` rows of each."""
+    routed = _split(rows, big, t, 1 << 60, fan, some)
+    lent = routed.groupBy("label", F.floor((F.col("cell") - 1) / fan).alias("cell")).agg(
+        (F.count(F.lit(1)) / F.countDistinct("digest")).alias("lent")
+    )
+    return big.join(lent.where(F.col("lent") * F.col("lent") < fan), ["label", "cell"], "left_semi")
+
+
+def _prepare(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``digest``: 16 bytes of label, length and components, or null for a row that links with nothing."""
+    for part in parts:
+        ids, vectors, labels = part.columns
+        flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64) + 0.0  # -0.0 is 0.0
+        digests, keys, at = [], [], 0
+        for ident, size, label in zip(ids.to_pylist(), pc.list_value_length(vectors).to_pylist(), labels.to_pylist(), strict=True):
+            x = flat[at : at + (size or 0)]
+            at += size or 0
+            if ident is None or label is None or not np.isfinite(x).all() or not x.any():
+                digests.append(None)
+                keys.append(None)
+                continue
+            keys.append(f"{size}:{label}")
+            digests.append(blake2b(keys[-1].encode() + b"\0" + x.tobytes(), digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays(
+            [ids, vectors, pa.array(keys, pa.string()), pa.array(digests, pa.binary())], names=["vec_id", "vec", "label", "digest"]
+        )
+
+
 def near_dedup(
     vectors: DataFrame,
     least: float = 0.98,
@@ -346,29 +392,24 @@ def near_dedup(
     in each of ``rounds`` rounds, and what is larger still goes in pairs of chunks.
     """
     t = float(np.sqrt(2.0 - 2.0 * least))
-    vec = F.col(vec_col).cast("array<double>")
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    valid = (
-        F.col("vec_id").isNotNull()
-        & F.col("label").isNotNull()
-        & F.col("vec").isNotNull()
-        & ~F.exists("vec", bad)
-        & F.exists("vec", lambda x: x != 0.0)
+    own = vectors.select(
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label")
     )
-    every = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.col(label_col).cast("string").alias("label")
-    ).withColumn("valid", F.coalesce(valid, F.lit(False)))
     # Lengths apart: they are part of the label from here on.
-    key = F.concat_ws(":", F.size("vec").cast("string"), "label")
+    every = materialise(arrow_map(own, _prepare, "vec_id long, vec array<double>, label string, digest binary"))
+    valid = every.where("digest IS NOT NULL")
     classes = materialise(
-        every.where("valid")
-        .groupBy(key.alias("label"), "vec")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        valid.groupBy("digest").agg(
+            F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")
+        )
     )
-    rows = classes.select("label", F.lit(0).cast("long").alias("cell"), "rep", "n", "vec", F.lit(True).alias("home"))
+    rows = classes.select("label", F.lit(0).cast("long").alias("cell"), "rep", "n", "vec", F.lit(True).alias("home"), "digest")
     done: list[DataFrame] = []
     for _ in range(rounds):
         big = materialise(rows.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cell))
+        if big.isEmpty():
+            break
+        big = materialise(_worth(rows, big, t, fan))
         if big.isEmpty():
             break
         done.append(rows.join(big, ["label", "cell"], "left_anti"))
@@ -383,7 +424,7 @@ def near_dedup(
     if big.isEmpty():
         dealt = rows.withColumn("part", none).withColumn("side", none)
     else:
-        joined = rows.join(big, ["label", "cell"], "left").withColumn("side", F.pmod(F.xxhash64(F.lit(11), "rep"), F.col("k")))
+        joined = rows.join(big, ["label", "cell"], "left").withColumn("side", F.pmod(F.xxhash64(F.lit(11), "digest"), F.col("k")))
         cold = joined.where("k IS NULL").withColumn("part", none).withColumn("side", none)
         hot = (
             joined.where("k IS NOT NULL")
@@ -393,22 +434,24 @@ def near_dedup(
             .drop("other")
         )
         dealt = cold.unionByName(hot)
-    dealt = dealt.select(*_CELL, "side", "rep", "n", "vec", "home").repartition(*_CELL).sortWithinPartitions(*_CELL)
-    solved = materialise(arrow_map(dealt, _solve(least), "rep long, root long, links long"))
+    dealt = dealt.select(*_CELL, "side", "rep", "n", "vec", "home", "digest").repartition(*_CELL).sortWithinPartitions(*_CELL)
+    solved = materialise(arrow_map(dealt, _solve(least), "digest binary, rep long, root long, links long"))
     found = components(solved.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = solved.groupBy("rep").agg(F.sum("links").alias("links"))
+    counts = solved.groupBy("digest").agg(F.sum("links").alias("links"))
     named = (
-        classes.join(counts, "rep", "left")
+        classes.select("digest", "rep", "n")
+        .join(counts, "digest", "left")
         .join(found, F.col("rep") == F.col("node"), "left")
         .select(
-            F.col("label").alias("of"),
-            "vec",
+            "digest",
+            "n",
             (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    linked = every.where("valid").withColumn("of", key).join(named, ["of", "vec"])
-    alone = every.where(~F.col("valid")).select(
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    linked = join_counted(valid.select("vec_id", "digest"), named, "digest", total)
+    alone = every.where("digest IS NULL").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
     out = linked.select("vec_id", "n_links", "component_id").unionAll(alone)
