@@ -21,7 +21,7 @@ type passes through.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -52,7 +52,8 @@ def luhn(digits: str) -> bool:
 
 
 def _ip(match: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+    parts = (p.lstrip("0") for p in match.split("."))  # a number of any length is read without its zeros
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
 
 
 def _card(match: str) -> bool:
@@ -240,10 +241,11 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
     if any(c in text for c in "([{<"):
         for m in _BRACKET.finditer(text):
             out.append((m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arroba") else "."))
-    taken = [(s, e) for s, e, _ in out]
+    starts, ends = [s for s, _, _ in out], [e for _, e, _ in out]
 
     def free(lo: int, hi: int) -> bool:
-        return not any(s < hi and lo < e for s, e in taken)
+        k = bisect_left(starts, hi)  # the last one that begins before the end
+        return not k or ends[k - 1] <= lo
 
     if _HAS_AT.search(text):
         for m in _SPOKEN.finditer(text):
@@ -273,11 +275,16 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not any(mapped.edited) and len(mapped.starts) == 1:
         return base, base
     found = list(base)
+    starts = [[s for s, k, _ in base if k == kind] for kind in range(len(KINDS))]
+    ends = [[e for _, k, e in base if k == kind] for kind in range(len(KINDS))]
+    last = [0] * len(KINDS)  # where the last added span of each kind ends; they come in order
     for start, kind, end in sorted(plain(mapped.text)):
         if mapped.touched(start, end):
             lo, hi = mapped.back(start, end)
-            if not any(k == kind and s < hi and lo < e for s, k, e in found):
+            k = bisect_left(starts[kind], hi)
+            if lo >= last[kind] and (not k or ends[kind][k - 1] <= lo):
                 found.append((lo, kind, hi))
+                last[kind] = hi
     return base, sorted(found)
 
 
