@@ -33,21 +33,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, batches, materialise, rows
+from tidemark.llm.common import arrow_map, batches, join_counted, materialise, rows
 
 BITS = 16
 SIZE = 1 << BITS
 _CHUNK = 1 << 16
-_HIDDEN = re.compile(r"<(script|style|nav|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
+_HIDDEN = ("script", "style", "nav", "noscript", "template")
+_HIDE = re.compile(rf"<!--|<({'|'.join(_HIDDEN)})\b", re.IGNORECASE)
+_CLOSE = {"": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.IGNORECASE) for n in _HIDDEN}
 _TAG = re.compile(r"<[^>]*>")
 _OPENING = re.compile(r"<!--|<html\b", re.IGNORECASE)
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})\b", re.IGNORECASE)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+def _shown(page: str) -> str:
+    """A page without comments, scripts and the like; an opening without its end hides nothing.
+
+    One pass: what was looked for in vain once is not looked for again, nor is a sign found ahead.
+    """
+    out, at, after, sign, gone = [], 0, 0, -1, set()
+    while m := _HIDE.search(page, after):
+        name, after = (m[1] or "").lower(), m.end()
+        if name in gone:
+            continue
+        if name and sign < after:
+            sign = page.find(">", after)
+            if sign < 0:  # no tag ends from here on: only comments could, and theirs end so too
+                break
+        end = _CLOSE[name].search(page, sign + 1 if name else after)
+        if not end:
+            gone.add(name)
+            continue
+        out += page[at : m.start()], " "
+        at = after = end.end()
+    out.append(page[at:])
+    return "".join(out)
+
+
 def visible(page: str | None) -> str:
-    """The text of a page without scripts, styles, navigation, comments and tags."""
-    return " ".join(_html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or ""))).split())
+    """The text of a page without scripts, styles, navigation, comments and tags, in linear time."""
+    shown = _shown(page or "")
+    end = shown.rfind(">") + 1  # behind it no tag ends
+    return " ".join(_html.unescape(_TAG.sub(" ", shown[:end]) + shown[end:]).split())
 
 
 def declared(page: str | None) -> str:
@@ -185,13 +213,21 @@ def identify(
     depth = F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\."))))
     named = hosts.where("host <> ''").select("host", depth.alias("k"), F.col("sums").alias("post"), "pages")
     named = named.withColumn("suffix", F.expr("substring_index(host, '.', -k)"))
-    summed = named.groupBy("suffix").agg(_sums(n).alias("s"), F.sum("pages").alias("n"))
-    above = named.select("host", "k", "suffix").join(summed, "suffix").select("host", F.struct("k", "s", "n").alias("level"))
+    # Hosts of a suffix, and pages of a host, may be a share of all: joined with the hot ones apart.
+    summed = named.groupBy("suffix").agg(_sums(n).alias("s"), F.sum("pages").alias("m"), F.count(F.lit(1)).alias("n"))
+    n_named, n_pages = hosts.where("host <> ''").agg(
+        F.coalesce(F.sum(F.size(F.split("host", r"\."))), F.lit(0)), F.coalesce(F.sum("pages"), F.lit(0.0))
+    ).head()
+    above = join_counted(named.select("host", "k", "suffix"), summed, "suffix", n_named)
+    above = above.select("host", F.struct("k", "s", F.col("m").alias("n")).alias("level"))
     alone = hosts.where("host <> ''").select(
         "host", F.struct(F.lit(1 << 30).alias("k"), F.col("sums").alias("s"), F.col("pages").alias("n")).alias("level")
     )
     levels = above.unionAll(alone).groupBy("host").agg(F.sort_array(F.collect_list("level")).alias("levels"))
-    joined = coded.join(levels, "host", "left")
+    # The last level is the host itself.
+    levels = materialise(levels.withColumn("n", F.element_at("levels", -1)["n"].cast("long")))
+    nowhere = coded.where("host = ''").withColumn("levels", F.lit(None).cast(levels.schema["levels"].dataType))
+    joined = join_counted(coded.where("host <> ''"), levels, "host", int(n_pages)).unionByName(nowhere)
     total = whole["n0"] or 0.0
     prior = F.array(
         *(
