@@ -92,10 +92,11 @@ def format_chats(
     text_col: str = "text",
     loss_role: str = "assistant",
 ) -> DataFrame:
-    """``id_col, formatted, loss``, one row per conversation.
+    """``id_col, formatted, loss, layout``, one row per conversation.
 
     ``loss`` holds the code-point spans (end exclusive) in ``formatted`` of the loss role's texts,
-    in order, as they are written there.
+    in order, as they are written there; ``layout`` says for every turn where it begins (``at``) and,
+    for the loss role, the same span.
     """
     own = rows.select(
         F.col(id_col).alias("conv_id"),
@@ -122,7 +123,7 @@ def format_chats(
     whole = placed.groupBy("conv_id").agg(
         F.sort_array(
             F.collect_list(
-                F.struct("ord", "segment", F.when(F.col("role") == loss_role, span).alias("span"), "role", "text")
+                F.struct("ord", "segment", F.when(F.col("role") == loss_role, span).alias("span"), "role", "text", "at")
             )
         ).alias("turns")
     )
@@ -133,7 +134,23 @@ def format_chats(
         F.raise_error(F.lit("a conversation does not parse back to its source"))
     )
     spans = F.transform(F.filter("turns", lambda t: t["span"].isNotNull()), lambda t: t["span"])
-    return whole.select(F.col("conv_id").alias(id_col), checked.alias("formatted"), spans.alias("loss"))
+    layout = F.transform("turns", lambda t: F.struct(t["at"].alias("at"), t["span"].alias("span")))
+    return whole.select(F.col("conv_id").alias(id_col), checked.alias("formatted"), spans.alias("loss"), layout.alias("layout"))
+
+
+def masked(formatted: Column, layout: Column) -> Column:
+    """The text under the loss mask of a formatted conversation, unescaped, texts end to end.
+
+    The string is cut into its turns once and each span read in its own turn, so that a conversation
+    takes time in proportion to its length.
+    """
+    parts = F.split(formatted, END + "\n", -1)
+    cut = F.zip_with(
+        F.slice(parts, F.lit(1), F.size(parts) - 1),
+        layout,
+        lambda part, t: F.substr(part, (t["span"]["start"] - t["at"]).cast("int") + 1, (t["span"]["end"] - t["span"]["start"]).cast("int")),
+    )
+    return F.array_join(F.transform(cut, unescape), "")
 
 
 def parse_chats(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -155,13 +172,7 @@ def op7_chat_formatting(spark, sf_dir: str) -> DataFrame:
     )
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     out = format_chats(rows.unionByName(extra))
-    back = out.withColumn("turns", parse(F.col("formatted"))).withColumn(
-        "lost",
-        F.array_join(
-            F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))),
-            "",
-        ),
-    )
+    back = out.withColumn("turns", parse(F.col("formatted"))).withColumn("lost", masked(F.col("formatted"), F.col("layout")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
