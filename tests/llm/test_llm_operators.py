@@ -148,9 +148,7 @@ def simhash_brute(texts, size=4, radius=4):
 
 
 def test_simhash(docs, none):
-    assert got(simhash.near_dedup(docs)) == simhash_brute([(i, None if t is None else t[:100_000]) if i in (9, 10) else (i, t) for i, t in TEXTS]) or got(
-        simhash.near_dedup(docs)
-    ) == simhash_brute(TEXTS)
+    assert got(simhash.near_dedup(docs)) == simhash_brute(TEXTS)
     assert simhash.near_dedup(none).isEmpty()
 
 
@@ -212,13 +210,13 @@ def test_similar_texts_are_found(spark):
     rows = list(enumerate(texts))
     found = dict(got(simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id"))
     close = [(i, j) for i in range(len(rows)) for j in range(i) if i // 4 == j // 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert len(close) > 400 and sum(found[i] == found[j] for i, j in close) >= 0.97 * len(close)
+    assert len(close) > 400 and all(found[i] == found[j] for i, j in close)
     assert all(found[i] // 4 == i // 4 for i in found)
 
 
 def test_similar_dedup_edges(docs, none):
     out = dict((t, c) for t, c in got(simhash.similar_dedup(docs), "doc_id", "component_id") if t is not None)
-    assert out[2] == 1 and out[12] == 11 and out[10] == 9 and out[4] == out[5] == out[6] == 4 and out[18] == 17 or out[18] == 18
+    assert out[2] == 1 and out[12] == 11 and out[10] == 9 and out[4] == out[5] == out[6] == 4 and out[17] == 17 and out[18] == 18
     kept = simhash.keep_first(simhash.similar_dedup(docs), docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {v for v in out.values()} | {None}
     assert simhash.similar_dedup(none).isEmpty()

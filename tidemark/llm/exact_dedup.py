@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, batches, materialise, rows
+from tidemark.llm.common import arrow_map, batches, join_counted, materialise, rows
 
 _DROP = b" \t\n\x0b\x0c\r"
-_LAST = (1 << 63) - 1  # stands for a null id; real ids at this value sort with nulls
 
 
 def normalise(text: str | None) -> bytes:
@@ -50,6 +49,11 @@ class _Node:
         self.owner: list | None = None  # [-code points, id, rows]
 
 
+def rank(ident: int | None) -> tuple[bool, int]:
+    """Order of ids: null last."""
+    return ident is None, ident or 0
+
+
 class OwnerTrie:
     """Compressed radix trie over bytes; terminal nodes hold ``[-code points, id, rows]``.
 
@@ -67,7 +71,7 @@ class OwnerTrie:
         self.held = 0
         self.spilled: dict[int, list] = {}  # by first byte: file name, open file, common beginning
 
-    def insert(self, key: bytes, order: int, ident: int, count: int) -> None:
+    def insert(self, key: bytes, order: int, ident: tuple[bool, int], count: int) -> None:
         if self.spilled and len(key) > len(self.head) and (away := self.spilled.get(key[len(self.head)])):
             pickle.dump((key, order, ident, count), away[1])
             if not key.startswith(away[2]):
@@ -78,7 +82,7 @@ class OwnerTrie:
         if self.held > self.budget and self.held > before:
             self._spill()
 
-    def _put(self, key: bytes, order: int, ident: int, count: int) -> None:
+    def _put(self, key: bytes, order: int, ident: tuple[bool, int], count: int) -> None:
         node, at = self.root, len(self.head)
         while True:
             if at == len(key):
@@ -211,7 +215,7 @@ def _local_owners(budget: int):
         def records() -> Iterator[tuple]:
             trie = OwnerTrie(budget=1 << 62)
             for ident, text in rows(parts):
-                trie.insert(normalise(text), -len(text or ""), _LAST if ident is None else ident, 1)
+                trie.insert(normalise(text), -len(text or ""), rank(ident), 1)
                 if trie.held > budget:
                     yield from _flat(trie)
                     trie = OwnerTrie(budget=1 << 62)
@@ -223,8 +227,8 @@ def _local_owners(budget: int):
 
 
 def _flat(trie: OwnerTrie) -> Iterator[tuple]:
-    for key, (order, ident, count) in trie.owners():
-        yield key, len(key), order, ident, count
+    for key, (order, (null, ident), count) in trie.owners():
+        yield key, len(key), order, None if null else ident, count
 
 
 def _global_owners(budget: int):
@@ -232,9 +236,9 @@ def _global_owners(budget: int):
         with tempfile.TemporaryDirectory(prefix="owners-") as folder:
             trie = OwnerTrie(budget, folder)
             for key, _, order, ident, count in rows(parts):
-                trie.insert(key, order, ident, count)
+                trie.insert(key, order, rank(ident), count)
             got = (
-                (hashlib.sha256(key).digest(), own[0], None if own[1] == _LAST else own[1], own[2])
+                (hashlib.sha256(key).digest(), own[0], None if own[1][0] else own[1][1], own[2])
                 for key, own in trie.owners()
             )
             yield from batches(got, _OWNERS)
@@ -267,11 +271,14 @@ def exact_dedup(
         "text_sha256 binary, best long, keep_id long, group_size long",
     ).drop("best")
     digests = arrow_map(own, _digests, "doc_id long, text_sha256 binary")
-    return digests.join(owners, "text_sha256").select(
+    # A group of copies may be a share of all rows: its one owner goes to where its rows lie.
+    owners = materialise(owners.withColumn("n", F.col("group_size")))
+    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    return join_counted(digests, owners, "text_sha256", total).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("text_sha256")).alias("text_sha256"),
     )
 
@@ -309,7 +316,7 @@ g AS (
            first(doc_id ORDER BY length(text) DESC, doc_id ASC NULLS LAST) AS keep_id
     FROM d GROUP BY norm)
 SELECT d.doc_id, g.keep_id, g.group_size,
-       coalesce(d.doc_id = g.keep_id, g.keep_id IS NULL) AS kept,
+       d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
        sha256(d.norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """
