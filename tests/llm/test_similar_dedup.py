@@ -78,8 +78,8 @@ def test_prefixes_meet_every_pair(spark, monkeypatch, large, most):
     for i, h in enumerate(sets):
         first = simhash.prefix(h, 0.8, counts).view(np.int64).tolist()
         slots, prints = simhash.parities(h, 0.8)
-        rows.append((i, 1000 + i, slots, [bytearray(x) for x in prints], first[:1], first[1:]))
-    classes = spark.createDataFrame(rows, "rep long, code long, slots array<int>, parities array<binary>, common array<long>, prefix array<long>")
+        rows.append((i, slots, [bytearray(x) for x in prints], first[:1], first[1:]))
+    classes = spark.createDataFrame(rows, "code long, slots array<int>, parities array<binary>, common array<long>, prefix array<long>")
     found = {r.node: r.component for r in simhash.components(simhash.prefix_links(classes, 0.8, most, every=1)).collect()}
     plain = [set(x.tolist()) for x in sets]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]

@@ -416,9 +416,6 @@ def near_dedup(
     return join_counted(prints, owners, "fp", n_rows).select("doc_id", "fp", "component_id")
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.binary())])
-
-
 def digest_of(hashes: np.ndarray) -> bytes:
     """Sixteen bytes that tell sets of shingle hashes apart."""
     return blake2b(hashes.tobytes(), digest_size=16).digest()
@@ -466,7 +463,7 @@ def parities(hashes: np.ndarray, similarity: float) -> tuple[list[int], list[byt
     """Slots and fingerprints of a set: the slot of its size, whose width doubles from slot to slot, and
     those below in which a set of that similarity may be."""
     slot = 0
-    while len(hashes) > 32 * PARITY << slot:
+    while len(hashes) > 32 * PARITY << slot and slot < 15:
         slot += 1
     slots = [k for k in range(slot + 1) if k == slot or similarity * len(hashes) <= (32 * PARITY << k) + 1e-6]
     return slots, [parity(hashes, PARITY << k).tobytes() for k in slots]
@@ -531,16 +528,16 @@ def _sweep_parities(root, sizes, bits, table, similarity: float, side, offset: i
                 rest = np.delete(rest, np.searchsorted(rest, found))
 
 
-def prefix_links(classes: DataFrame, similarity: float, most: int = 1 << 16, every: int = 64) -> DataFrame:
-    """``a, b``: a spanning forest, bucket by bucket, of classes ``(rep, code, slots, parities, common, prefix)``
-    that share a slot and a shingle of their prefixes and may be similar.
+def prefix_links(sets: DataFrame, similarity: float, most: int = 1 << 16, every: int = 64) -> DataFrame:
+    """``a, b``: a spanning forest, bucket by bucket, of the codes of ``sets (code, slots, parities, common,
+    prefix)`` that share a slot and a shingle of their prefixes and may be similar.  Rows may repeat.
 
     Shingles and codes are dealt first.  A shingle that is shared gives way to a signature of the classes that
     have it, so that buckets with the same members become one, and fingerprints follow only then.
     Shingles in ``common`` are known to be shared, so that none of them is counted in one task.
     """
     key = F.xxhash64("slot", "shingle").alias("key")
-    deal = lambda c: classes.select("code", c, F.explode("slots").alias("slot")).select(
+    deal = lambda c: sets.select("code", c, F.explode("slots").alias("slot")).select(
         "slot", "code", F.explode(c).alias("shingle")
     ).select("slot", "code", key)
     mark = F.bit_xor(F.xxhash64("code"))
@@ -552,9 +549,9 @@ def prefix_links(classes: DataFrame, similarity: float, most: int = 1 << 16, eve
     common = join_counted(common, told.withColumn("many", F.col("n")), "key", total).where("many > 1")
     sign = lambda n: F.xxhash64("slot", "sign", n).alias("key")
     shared = rare.select("slot", sign("n"), "code").unionAll(common.select("slot", sign("many"), "code")).distinct()
-    prints = classes.select("code", "rep", F.explode(F.arrays_zip("slots", "parities")).alias("p"))
-    prints = prints.select("code", "rep", F.col("p.slots").alias("slot"), F.col("p.parities").alias("fp"))
-    met = materialise(shared.join(prints, ["code", "slot"]).select("slot", "key", "fp", "rep"))
+    prints = sets.select("code", F.explode(F.arrays_zip("slots", "parities")).alias("p"))
+    prints = prints.select("code", F.col("p.slots").alias("slot"), F.col("p.parities").alias("fp"))
+    met = materialise(shared.join(prints, ["code", "slot"]).select("slot", "key", "fp", F.col("code").alias("rep")))
     return link_buckets(met, _linker(similarity, 1 << 15, link_parities), most, every)
 
 
@@ -572,12 +569,19 @@ def _prefixes(size: int, similarity: float, counts: np.ndarray):
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple]:
+            told: set[bytes] = set()  # sets that this task has dealt: of copies, one is enough
             for ident, text in rows(parts):
                 hashes = np.unique(shingle_hashes(text, size))
                 digest = digest_of(hashes)
+                code = int.from_bytes(digest[:8], "little", signed=True)
+                if digest in told:
+                    yield ident, digest, code, [], [], [], []
+                    continue
+                if len(told) >= 1 << 18:
+                    told.clear()
+                told.add(digest)
                 first = prefix(hashes, similarity, counts)
                 common = counts[first & np.uint64(PLACES - 1)] >= COMMON
-                code = int.from_bytes(digest[:8], "little", signed=True)
                 yield (
                     ident, digest, code, *parities(hashes, similarity), first[common].view(np.int64), first[~common].view(np.int64),
                 )
@@ -587,10 +591,20 @@ def _prefixes(size: int, similarity: float, counts: np.ndarray):
     return run
 
 
+_SETS = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("fp", pa.binary()), ("rep", pa.int64()), ("bytes", pa.int64())])
+
+
 def _sets(size: int):
+    """Over ``rep, digest, key, text``: the set of each text that is the one meant by the digest."""
+
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = ((i, np.unique(shingle_hashes(t, size))) for i, t in rows(parts))
-        yield from batches(((i, digest_of(h), h.tobytes()) for i, h in sets), _SETS)
+        def records() -> Iterator[tuple]:
+            for rep, digest, key, text in rows(parts):
+                hashes = np.unique(shingle_hashes(text, size))
+                if digest_of(hashes) == digest:
+                    yield 0, key, hashes.tobytes(), rep, hashes.nbytes
+
+        yield from batches(records(), _SETS)
 
     return run
 
@@ -668,18 +682,14 @@ def _set_linker(similarity: float):
     return run
 
 
-def verified(own: DataFrame, classes: DataFrame, found: DataFrame, size: int, similarity: float, most: int = 8 << 20) -> DataFrame:
-    """``a, b``: a spanning forest of the classes ``(digest, rep)`` whose sets are similar, looked for
-    within the components ``found`` of candidates.  A task holds about ``most`` bytes of sets."""
-    members = classes.join(found, F.col("rep") == F.col("node")).select("digest", "rep", F.col("component").alias("key"))
-    members = materialise(members)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    # Eight bytes a candidate: sent to the texts while that is under 16 MB, else texts are shuffled.
-    wanted = F.broadcast(wanted) if members.count() <= 1 << 21 else wanted
-    texts = own.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    sets = arrow_map(texts.select("doc_id", "text"), _sets(size), "doc_id long, digest binary, fp binary")
-    dealt = sets.withColumnRenamed("doc_id", "rep").join(members, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
-    dealt = materialise(dealt.select(F.lit(0).cast("long").alias("slot"), "key", "fp", "rep", F.length("fp").alias("bytes")))
+def verified(own: DataFrame, members: DataFrame, size: int, similarity: float, most: int = 8 << 20) -> DataFrame:
+    """``a, b``: a spanning forest of the classes ``members(rep, digest, key)`` whose sets are similar, looked
+    for among those with one ``key``.  A task holds about ``most`` bytes of sets."""
+    # Some 32 bytes a candidate: sent to the texts up to 32 MB, else both are shuffled.
+    wanted = F.broadcast(members) if members.count() <= 1 << 20 else members
+    texts = own.where("doc_id IS NOT NULL").join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "digest", "key", "text")
+    spec = "slot long, key long, fp binary, rep long, bytes long"
+    dealt = materialise(arrow_map(texts, _sets(size), spec))
     return link_buckets(dealt, _set_linker(similarity), most, 1, F.col("bytes"))
 
 
@@ -697,17 +707,15 @@ def similar_dedup(
     maker = _prefixes(size, similarity, shingle_counts(own, n, size))
     with temporary() as keep:
         prints = materialise(arrow_map(own, maker, _PREFIX_SPEC))
-        columns = ("code", "slots", "parities", "common", "prefix")
-        classes = prints.groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in columns)
-        )
+        classes = prints.groupBy("digest", "code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
         classes = materialise(classes)
-        named = classes.where("rep IS NOT NULL")
         with temporary() as near_keep:
-            near = components(prefix_links(named.select("rep", *columns), similarity))
+            near = components(prefix_links(prints.where(F.size("slots") > 0), similarity))
             near_keep.append(near)
         with temporary() as found_keep:
-            found = components(verified(own, named.select("digest", "rep"), near, size, similarity))
+            members = classes.where("rep IS NOT NULL").join(near, F.col("code") == F.col("node"))
+            members = materialise(members.select("rep", "digest", F.col("component").alias("key")))
+            found = components(verified(own, members, size, similarity))
             found_keep.append(found)
         owners = classes.select("digest", "rep", "n").join(found, F.col("rep") == F.col("node"), "left")
         owners = owners.select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
