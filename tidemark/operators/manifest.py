@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import bounds, range_of
 from tidemark.operators.read import Bound
 
 
@@ -39,12 +40,18 @@ def contains(low: Any = None, high: Any = None) -> Column:
 def scope_overlaps(runs: DataFrame) -> DataFrame:
     """``a, b``: pairs of runs whose ranges overlap, ends inclusive, each pair once.
 
-    A manifest has a row a run.  Runs sorted by ``lo`` are compared by an interval join; the side that
-    Spark sends around is a manifest, never data.
+    The keys are cut into stripes, each run is dealt to the stripes that it meets, and runs are compared
+    within a stripe; a pair counts in the stripe where the later of the two begins.
     """
-    a = runs.select(F.col("run_id").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    b = runs.select(F.col("run_id").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))).select("a", "b")
+    cuts = bounds(runs, "lo")
+    dealt = runs.withColumn("from", range_of(F.col("lo"), cuts)).withColumn("to", range_of(F.col("hi"), cuts))
+    dealt = dealt.withColumn("stripe", F.explode(F.sequence("from", "to")))
+    a, b = (
+        dealt.select("stripe", F.col("run_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("lo", "hi", "from"))) for x in "ab"
+    )
+    meet = (F.col("a") < F.col("b")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))
+    once = F.col("stripe") == F.greatest("a_from", "b_from")
+    return a.join(b, "stripe").where(meet & once).select("a", "b")
 
 
 def replay(edits: DataFrame, version: int | None = None) -> DataFrame:

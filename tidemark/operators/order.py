@@ -22,7 +22,7 @@ def bounds(rows: DataFrame, column: str, parts: int | None = None) -> list[Any]:
     values = rows.select(F.col(column).alias("v")).where("v IS NOT NULL")
     every = max(1, values.count() // SAMPLE)
     picked = values.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).distinct().limit(4 * SAMPLE)
-    sample = sorted(r["v"] for r in picked.collect())
+    sample = sorted(bytes(r["v"]) if isinstance(r["v"], bytearray) else r["v"] for r in picked.collect())
     cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
     return sorted(set(cuts))
 

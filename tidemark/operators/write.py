@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import byte_size
-from tidemark.operators.order import running_total
+from tidemark.operators.order import bounds, range_of, running_total
 from tidemark.operators.resolve import live, resolve
 
 
@@ -59,13 +59,13 @@ def flush_points(log: DataFrame, threshold: int, weight: Column | None = None, o
     """``batch, rows, weight, first_seq, last_seq``: batches of a log in sequence order.
 
     A batch ends with the row that brings its count (or weight) since the batch began to the
-    threshold.  For counts the batch number is ``floor((rank - 1) / threshold)``; weights use the
-    running total in the same way, so that a batch ends where the total passes a multiple.
-
-    See :func:`~tidemark.operators.order.running_total` for how one order over the log is had.
+    threshold; the next begins at 0.  The last batch may be short of it.  For counts the batch number is
+    ``floor((rank - 1) / threshold)``, see :func:`~tidemark.operators.order.running_total` for how one
+    order over the log is had; weights are cut by :func:`cut_by_weight`.  A null weight counts nothing.
     """
-    w = (F.lit(1) if weight is None else weight).cast("long")
-    rows = log.select(F.col(order).alias("_o"), w.alias("weight"))
+    if weight is not None:
+        return cut_by_weight(log.select(F.col(order).alias("_o"), F.coalesce(weight, F.lit(0)).cast("long").alias("weight")), threshold)
+    rows = log.select(F.col(order).alias("_o"), F.lit(1).cast("long").alias("weight"))
     placed = running_total(rows, "_o", F.col("weight"), "before")
     return placed.groupBy(F.floor(F.col("before") / F.lit(threshold)).alias("batch")).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -73,3 +73,80 @@ def flush_points(log: DataFrame, threshold: int, weight: Column | None = None, o
         F.min("_o").alias("first_seq"),
         F.max("_o").alias("last_seq"),
     )
+
+
+def cut_by_weight(rows: DataFrame, threshold: int) -> DataFrame:
+    """``batch, rows, weight, first_seq, last_seq`` of rows ``(_o, weight)`` with distinct ``_o``.
+
+    Where a batch ends depends on where the one before did.  Ranges of the order are therefore solved for
+    every weight that may be carried into them: the first cut of a range is at one of its first rows,
+    and cuts after it follow, most of them the same whatever came before.  What is carried out, as a step
+    function of what comes in, is a few rows a range; the driver folds these in order, and each range
+    then makes its cuts.  Ranges hold 64 batches or more, so that steps are few.
+    """
+    total = rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = bounds(rows, "_o", max(1, min(most, total // (64 * threshold))))
+    dealt = rows.withColumn("_p", range_of(F.col("_o"), cuts))
+    told = dealt.groupBy("_p").applyInPandas(_steps(threshold), "_p int, least long, cuts long, carried long").collect()
+    steps: dict[int, list] = {}
+    for r in told:
+        steps.setdefault(r["_p"], []).append((r["least"], r["cuts"], r["carried"]))
+    carry, batch, at = 0, 0, {}
+    for p in sorted(steps):
+        at[p] = (carry, batch)
+        # Steps go by the least weight carried in; the first is for no cut at all and adds to it.
+        least, n, out = max(s for s in steps[p] if s[0] <= carry)
+        carry, batch = (carry + out, batch) if n == 0 else (out, batch + n)
+    kind = rows.schema["_o"].dataType.simpleString()
+    spec = f"batch long, rows long, weight long, first_seq {kind}, last_seq {kind}"
+    parts = dealt.groupBy("_p").applyInPandas(_cut(threshold, at), spec)
+    return parts.groupBy("batch").agg(
+        F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq")
+    )
+
+
+def _steps(threshold: int):
+    def run(rows):
+        import numpy as np
+        import pandas as pd
+
+        total = rows.sort_values("_o")["weight"].to_numpy(np.int64).cumsum()
+        n = len(total)
+        after = np.searchsorted(total, total + threshold)  # the cut that follows a cut at each row
+        last, many = np.arange(n + 1), np.zeros(n + 1, np.int64)
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                last[i], many[i] = last[after[i]], many[after[i]] + 1
+        out = [(0, 0, int(total[-1]))] if total[-1] < threshold else []
+        # The first cut is at the first row that the carried weight and the rows so far bring to the threshold.
+        ends = np.unique(np.searchsorted(total, np.unique(np.minimum(total[: int(np.searchsorted(total, threshold)) + 1], threshold))))
+        for j in ends[::-1].tolist():
+            if not total[j]:
+                continue
+            step = (max(0, threshold - int(total[j])), int(many[j]) + 1, int(total[-1] - total[last[j]]))
+            if out and out[-1][1:] == step[1:] and step[1]:
+                continue  # as for less carried in
+            out.append(step)
+        return pd.DataFrame([(int(rows["_p"].iloc[0]), *s) for s in out], columns=["_p", "least", "cuts", "carried"])
+
+    return run
+
+
+def _cut(threshold: int, at: dict[int, tuple[int, int]]):
+    def run(rows):
+        import numpy as np
+        import pandas as pd
+
+        carry, batch = at[int(rows["_p"].iloc[0])]
+        rows = rows.sort_values("_o")
+        order, total = rows["_o"].to_numpy(), rows["weight"].to_numpy(np.int64).cumsum()
+        out, begin, base = [], 0, -carry
+        while begin < len(total):
+            end = min(int(np.searchsorted(total, base + threshold)) + 1, len(total))
+            before = int(total[begin - 1]) if begin else 0
+            out.append((batch, end - begin, int(total[end - 1]) - before, order[begin], order[end - 1]))
+            begin, base, batch = end, int(total[end - 1]), batch + 1
+        return pd.DataFrame(out, columns=["batch", "rows", "weight", "first_seq", "last_seq"])
+
+    return run

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark import operators as op
 from tidemark.operators import Bound
+from tidemark.operators.order import running_total
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,9 +143,16 @@ query("kv_range_tombstones", f"WITH {_LOG} SELECT key, seq, value FROM newest WH
 query("kv_range_snapshot", f"WITH {_LOG} SELECT key, seq, value FROM (SELECT * FROM log WHERE seq <= 800 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE key > 5 AND key <= 40")(
     lambda s, d: op.range_scan(event_log(s, d), Bound(5, False), Bound(40), seq=800)
 )
-query("kv_range_descending", f"WITH {_LOG} SELECT key, value, row_number() OVER (ORDER BY key DESC) AS nth FROM newest ORDER BY key DESC LIMIT 10")(
-    lambda s, d: op.range_scan(event_log(s, d), descending=True).limit(10).select("key", "value", (F.monotonically_increasing_id() + 1).alias("nth"))
-)
+
+
+@query("kv_range_descending", f"WITH {_LOG} SELECT key, value, row_number() OVER (ORDER BY key DESC) AS nth FROM newest")
+def _(s, d):
+    # The whole scan; a row's place is told by the number of rows before it from the other end.
+    placed = running_total(op.range_scan(event_log(s, d), descending=True), "key", F.lit(1), "before")
+    count = op.resolve(event_log(s, d)).agg(F.count(F.lit(1)).alias("n"))  # one row
+    return placed.crossJoin(F.broadcast(count)).select("key", "value", (F.col("n") - F.col("before")).alias("nth"))
+
+
 query("kv_seek_first", f"WITH {_LOG} SELECT key, seq, value FROM newest")(lambda s, d: op.seek(event_log(s, d)))
 query("kv_seek_last", f"WITH {_LOG} SELECT key, seq, value FROM newest LIMIT 0")(lambda s, d: op.seek(event_log(s, d), "last"))
 query("kv_seek_lower_bound", f"WITH {_LOG} SELECT key, seq, value FROM newest WHERE key >= 13 ORDER BY key LIMIT 1")(
@@ -170,16 +178,16 @@ def _flushed(rows: DataFrame) -> DataFrame:
 # Merging sources
 
 
-@query("kv_overlay", f"WITH {_LOG}, w AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS value FROM customer WHERE c_custkey % 10 = 1) "
+@query("kv_overlay", f"WITH {_LOG}, w AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS value FROM customer) "
        "SELECT key, value FROM w UNION ALL SELECT key, value FROM newest WHERE key NOT IN (SELECT key FROM w)")
 def _(s, d):
-    own = table(s, d, "customer").where("c_custkey % 10 = 1").select(
+    own = table(s, d, "customer").select(
         F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("value")
     )
     return op.overlay(op.resolve(event_log(s, d)).select("key", "value"), own)
 
 
-@query("kv_overlay_live", f"WITH {_LOG}, w AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS value FROM customer WHERE c_custkey % 10 = 1) "
+@query("kv_overlay_live", f"WITH {_LOG}, w AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS value FROM customer) "
        "SELECT * FROM (SELECT key, value FROM w UNION ALL SELECT key, value FROM newest WHERE key NOT IN (SELECT key FROM w)) WHERE value IS NOT NULL")
 def _(s, d):
     return op.live(QUERIES["kv_overlay"](s, d))
@@ -209,11 +217,11 @@ query("kv_document_latest", "SELECT text AS key, max(doc_id) AS seq FROM documen
 
 # Writes, failures, conflicts
 
-_W = "w AS (SELECT o_custkey AS key, o_orderkey AS ord FROM orders WHERE o_orderkey % 5 = 0)"
+_W = "w AS (SELECT o_custkey AS key, o_orderkey AS ord FROM orders)"
 
 
 def _orders(s, d):
-    return table(s, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"))
+    return table(s, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"))
 
 
 query("kv_conflicts", f"WITH {_LOG}, {_W} SELECT DISTINCT key FROM w WHERE key IN (SELECT key FROM log WHERE seq > 900)")(
@@ -227,10 +235,10 @@ query("kv_batch_remove", f"WITH {_LOG}, {_W} SELECT key, CASE WHEN false THEN va
 )
 
 
-@query("kv_batch_set", f"WITH {_LOG}, o AS (SELECT o_custkey AS key, o_totalprice AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth FROM orders WHERE o_orderkey % 5 = 0) "
+@query("kv_batch_set", f"WITH {_LOG}, o AS (SELECT o_custkey AS key, o_totalprice AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth FROM orders) "
        "SELECT key, 1000000::BIGINT AS seq, value FROM o WHERE nth = 1 UNION ALL SELECT key, seq, value FROM newest WHERE key NOT IN (SELECT key FROM o)")
 def _(s, d):
-    rows = table(s, d, "orders").where("o_orderkey % 5 = 0").select(
+    rows = table(s, d, "orders").select(
         F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("ord")
     )
     return op.resolve(event_log(s, d).unionByName(op.put(rows, 1_000_000, "ord")))
@@ -262,8 +270,14 @@ ORACLES["kv_flush_points"] = (
     f"WITH {_LOG}, r AS (SELECT (row_number() OVER (ORDER BY seq) - 1) // 128 AS batch, seq FROM log) "
     "SELECT batch, count(*) AS rows, count(*)::BIGINT AS weight, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY batch"
 )
-query("kv_flush_points_bytes", "WITH r AS (SELECT event_id AS seq, length(props) AS w, sum(length(props)) OVER (ORDER BY event_id) - length(props) AS before FROM events) "
-      "SELECT (before // 2048)::BIGINT AS batch, count(*) AS rows, sum(w)::BIGINT AS weight, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY ALL")(
+#: Batches by weight: each cut is the first running total that is a threshold above the cut before.
+_CUTS = (
+    "WITH RECURSIVE c AS (SELECT {seq} AS seq, coalesce(length({w}), 0) AS w, sum(coalesce(length({w}), 0)) OVER (ORDER BY {seq})::BIGINT AS s FROM {t}), "
+    "cut(batch, s) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT cut.batch + 1, min(c.s) FROM cut JOIN c ON c.s >= cut.s + {n} GROUP BY cut.batch), "
+    "r AS (SELECT c.seq, c.w, max(cut.batch) AS batch FROM c JOIN cut ON cut.s <= c.s - c.w GROUP BY c.seq, c.w) "
+    "SELECT batch, count(*) AS rows, sum(w)::BIGINT AS weight, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY batch"
+)
+query("kv_flush_points_bytes", _CUTS.format(seq="event_id", w="props", t="events", n=2048))(
     lambda s, d: op.flush_points(table(s, d, "events").select(F.col("event_id").alias("seq"), "props"), 2048, F.char_length("props"))
 )
 
@@ -317,13 +331,9 @@ query("kv_sharding", "WITH RECURSIVE p AS (SELECT p_partkey AS key, length(p_nam
         table(s, d, "part").select(F.col("p_partkey").alias("key"), F.char_length("p_name").alias("w")), 1000, F.col("w")
     )
 )
-query("kv_block_cut")(
+query("kv_block_cut", _CUTS.format(seq="p_partkey", w="p_name", t="part", n=4096))(
     lambda s, d: op.flush_points(table(s, d, "part").select(F.col("p_partkey").alias("seq"), "p_name"), 4096, F.char_length("p_name"))
 )
-ORACLES["kv_block_cut"] = (
-    "WITH r AS (SELECT p_partkey AS seq, length(p_name) AS w, sum(length(p_name)) OVER (ORDER BY p_partkey) - length(p_name) AS before FROM part) "
-    "SELECT (before // 4096)::BIGINT AS batch, count(*) AS rows, sum(w)::BIGINT AS weight, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY ALL"
-)
 
 
 def _edits(s, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -65,6 +67,11 @@ class Files:
             return []
         return sorted(str(s.getPath().getName()) for s in self._fs.listStatus(path))
 
+    def age(self, name: str) -> float:
+        """Seconds since the last change of a file or folder, by this machine's clock."""
+        changed = self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+        return time.time() - changed
+
     def size(self, name: str) -> int:
         return int(self._fs.getContentSummary(self._path(name)).getLength())
 
