@@ -421,7 +421,7 @@ def digest_of(hashes: np.ndarray) -> bytes:
     return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-PLACES = 1 << 20  # of the sketch of shingle counts
+PLACES = 1 << 18  # of the sketch of shingle counts
 COMMON = 16  # texts of the sample that have a shingle which is known to be shared
 PARITY = 16  # words of the narrowest fingerprint, for sets of up to 32 shingles a word
 
@@ -436,7 +436,7 @@ def _sketch(size: int):
     return run
 
 
-def shingle_counts(own: DataFrame, n: int, size: int, sample: int = 5_000) -> np.ndarray:
+def shingle_counts(own: DataFrame, n: int, size: int, sample: int = 2_000) -> np.ndarray:
     """How often shingles occur in about ``sample`` of the ``n`` texts, by ``PLACES`` places of their hash."""
     share = int(min(1.0, sample / max(1, n)) * (1 << 40))
     picked = own.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 40)) < F.lit(share)).select("text")
