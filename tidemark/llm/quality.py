@@ -206,11 +206,13 @@ def fit(
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("mark")).where(
         "doc_id IS NOT NULL AND mark IN (0, 1)"
     )
+    # An id with both labels has none.
+    marks = marks.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.max("mark").alias("most")).where("mark = most").drop("most")
     n = marks.count()
     share = min(1.0, 2.0 * fit_rows / max(1, n))
     # A bounded set of ids, so it may be broadcast: a hash share, and a hard limit besides.
     chosen = marks.where(_share("doc_id", 1) < share).withColumn("fits", _share("doc_id", 2) < 0.5)
-    chosen = materialise(chosen.dropDuplicates(["doc_id"]).limit(4 * fit_rows))
+    chosen = materialise(chosen.limit(4 * fit_rows))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     marked = own.join(F.broadcast(chosen), "doc_id", "left").select(
         "text", F.coalesce((F.col("mark") == 1) & F.col("fits"), F.lit(False)).alias("target")
