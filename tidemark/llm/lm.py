@@ -316,6 +316,8 @@ def pairs(code, lengths, end, short, fits) -> tuple[np.ndarray, np.ndarray]:
     The training mark rides in the lowest bit, so that one sort in place does for both; a block has
     far fewer than 2^23 words, which leaves that bit free.
     """
+    if len(short) >= 1 << (63 - HASH):
+        raise ValueError(f"a text of {len(short)} distinct words does not fit a block")
     keys = _pair_keys(code, lengths, end, short)
     keys <<= np.uint64(1)
     keys |= fits
