@@ -394,7 +394,12 @@ query("kv_prefix_compression", "WITH k AS (SELECT p_name || '#' || lpad(p_partke
         table(s, d, "part").select(F.concat("p_name", F.lit("#"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("key"))
     )
 )
-query("kv_checksums")(
+# CRC-32 bit by bit, with the reflected polynomial 0xEDB88320.
+query("kv_checksums", "WITH b AS (SELECT c_custkey AS key, encode(c_name) AS raw FROM customer), "
+      "x AS (SELECT key, [('0x' || substr(hex(raw), 2 * i - 1, 2))::BIGINT FOR i IN range(1, octet_length(raw) + 1)] AS bytes FROM b), "
+      "c AS (SELECT key, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda r, v: list_reduce(list_concat([xor(r, v)], "
+      "[0::BIGINT FOR i IN range(8)]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS r FROM x) "
+      "SELECT key, xor(r, 4294967295) AS crc FROM c")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("key"), fn.checksum(F.col("c_name")).alias("crc"))
 )
 
