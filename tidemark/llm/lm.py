@@ -12,7 +12,7 @@ The trie is dealt over shards by the context word, since it grows with the corpu
    its distinct successors of each of these words.
 2. *Shards.*  A shard merges the requests into its trie.  Level 1 holds its words in order, with
    monotone pointers to their successors; level 2 holds the successors of all words in one monotone
-   sequence (each taken relative to its context) with smoothed probabilities quantised to two bytes.
+   sequence (each taken relative to its context) with joint probabilities quantised to two bytes.
    Both sequences are Elias-Fano coded, written to a file of the task and memory-mapped.  Requests are
    answered by successor search inside the context's range, block by block.
 3. *Scores.*  Each block meets its answers, and its texts are summed up.
@@ -22,7 +22,8 @@ A word that is a large share of all tokens would make its shard grow with its di
 such words are looked for in a bounded sample of texts, and their successors are dealt over several
 shards by hash.  Which words these are changes only who counts what, never a result.  So that a shard
 need not know all of a context, level 2 holds joint probabilities ``c(v w) / N``, quantised up to
-the constant ``N``; whoever reads them divides by the context's ``c(v) + m``.
+the constant ``N`` and not smoothed yet; whoever reads them adds ``m p(w)`` and divides by the
+context's ``c(v) + m``.
 
 Defined results.  A null text counts as empty and has the end token alone.  A null id is text
 ``null`` to the hash that deals texts to training.  Repeated rows are counted and scored each.
