@@ -86,6 +86,34 @@ def test_prefixes_meet_every_pair(spark, monkeypatch, large, most):
     assert len(pairs) >= 60 and all(found[i] == found[j] for i, j in pairs)
 
 
+def test_leads_lose_no_pair(spark):
+    """Pairs of equal and of unequal size just at the similarity, under shingles that others share as well."""
+    rng = np.random.default_rng(17)
+    counts = np.zeros(simhash.PLACES, np.int32)
+    pool = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    new = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    sets = []
+    for m in (1, 5, 10, 45, 90, 300, 1100):
+        for _ in range(12):
+            base = np.unique(np.r_[new(m), rng.choice(pool, m // 3)])
+            cut = int(rng.integers(0, len(base) // 5 + 1))  # of a subset, or as many again replaced
+            least = int(np.ceil(0.8 * len(base) - 1e-9))
+            other = base[rng.permutation(len(base))[: max(least, len(base) - cut)]]
+            swap = len(base) // 9
+            sets += [base, other, np.unique(np.r_[rng.permutation(base)[swap:], new(swap)])]
+    rows = []
+    for i, h in enumerate(sets):
+        first = simhash.prefix(h, 0.8, counts).view(np.int64).tolist()
+        slots, prints = simhash.parities(h, 0.8)
+        rows.append((i, len(h), simhash.lead(len(h), 0.8), slots, [bytearray(x) for x in prints], [], first))
+    spec = "code long, size long, lead long, slots array<int>, parities array<binary>, common array<long>, prefix array<long>"
+    links = simhash.prefix_links(spark.createDataFrame(rows, spec), 0.8, every=1)
+    found = {r.node: r.component for r in simhash.components(links).collect()}
+    plain = [set(x.tolist()) for x in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]
+    assert len(pairs) >= 150 and all(i in found and found[i] == found.get(j) for i, j in pairs)
+
+
 def brute(fps, radius):
     root = list(range(len(fps)))
     for i in range(len(fps)):

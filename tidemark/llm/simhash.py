@@ -30,7 +30,7 @@ that at 0.8, where some 39 of 256 differ and more by chance, so fingerprints are
   from rare to common, by counts of a sample; it decides how large buckets are, never what is found.
   The rule is the same at every size of corpus.
   Buckets with the same members are one: a cluster of copies shares all its shingles.
-* *Pivots.*  A fingerprint has two bits a shingle or more, each the parity of the shingles that fall on its
+* *Pivots.*  A fingerprint has a bit a shingle or more, each the parity of the shingles that fall on its
   place, so two of them never differ in more bits than the sets do in shingles.  By size, then by distances to
   reference fingerprints, then by all bits, pairs are discarded that cannot be similar
   (:func:`link_parities`).
@@ -423,7 +423,8 @@ def digest_of(hashes: np.ndarray) -> bytes:
 
 PLACES = 1 << 18  # of the sketch of shingle counts
 COMMON = 16  # texts of the sample that have a shingle which is known to be shared
-PARITY = 16  # words of the narrowest fingerprint, for sets of up to 32 shingles a word
+_SLOTS = 16  # of :func:`parities`
+PARITY = 16  # words of the narrowest fingerprint, for sets of up to 64 shingles a word
 
 
 def _sketch(size: int):
@@ -451,6 +452,11 @@ def prefix(hashes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndar
     return hashes[np.lexsort((hashes, counts[hashes & np.uint64(PLACES - 1)]))[:take]]
 
 
+def lead(m: int, similarity: float) -> int:
+    """How many of its first shingles hold one of any similar set that is not smaller than its own ``m``."""
+    return m - int(np.ceil(2 * similarity / (1 + similarity) * m - 1e-6)) + 1 if m else 0
+
+
 def parity(hashes: np.ndarray, width: int = PARITY) -> np.ndarray:
     """The set's size and, for each of ``64 * width`` places of the hash, whether an odd number of shingles
     falls there."""
@@ -463,9 +469,9 @@ def parities(hashes: np.ndarray, similarity: float) -> tuple[list[int], list[byt
     """Slots and fingerprints of a set: the slot of its size, whose width doubles from slot to slot, and
     those below in which a set of that similarity may be."""
     slot = 0
-    while len(hashes) > 32 * PARITY << slot and slot < 15:
+    while len(hashes) > 64 * PARITY << slot and slot < _SLOTS - 1:
         slot += 1
-    slots = [k for k in range(slot + 1) if k == slot or similarity * len(hashes) <= (32 * PARITY << k) + 1e-6]
+    slots = [k for k in range(slot + 1) if k == slot or similarity * len(hashes) <= (64 * PARITY << k) + 1e-6]
     return slots, [parity(hashes, PARITY << k).tobytes() for k in slots]
 
 
@@ -529,40 +535,56 @@ def _sweep_parities(root, sizes, bits, table, similarity: float, side, offset: i
 
 
 def prefix_links(sets: DataFrame, similarity: float, most: int = 1 << 16, every: int = 64) -> DataFrame:
-    """``a, b``: a spanning forest, bucket by bucket, of the codes of ``sets (code, slots, parities, common,
-    prefix)`` that share a slot and a shingle of their prefixes and may be similar.  Rows may repeat.
-
-    Shingles and codes are dealt first.  A shingle that is shared gives way to a signature of the classes that
-    have it, so that buckets with the same members become one, and fingerprints follow only then.
-    Shingles in ``common`` are known to be shared, so that none of them is counted in one task.
+    """``a, b``: a spanning forest, bucket by bucket, of the codes of ``sets (code, size, lead, slots, parities,
+    common, prefix)`` that share a slot and a shingle of their prefixes and may be similar.  Rows may repeat.
+
+    Shingles, codes and sizes are dealt first.  Of two similar sets the smaller one has their first common
+    shingle in the ``lead`` of its prefix, so under a shingle and in the order of sizes a row stays if a lead
+    row before it is near enough in size, or it is one itself and the row after it is near enough.
+    A shingle that is shared gives way to a signature of the classes that have it, so that buckets with the
+    same members become one, and fingerprints follow only then.
+    Shingles in ``common`` are known to be shared, so that none of them is counted or ordered in one task.
+    Without columns ``size`` and ``lead`` every row under a shared shingle stays.
     """
+    if "lead" not in sets.columns:
+        sets = sets.withColumns({"size": F.lit(0).cast("long"), "lead": F.lit(1 << 40)})
     key = F.xxhash64("slot", "shingle").alias("key")
-    deal = lambda c: sets.select("code", c, F.explode("slots").alias("slot")).select(
-        "slot", "code", F.explode(c).alias("shingle")
-    ).select("slot", "code", key)
+    place = ((F.col("size") * _SLOTS + F.col("slot")) * 2 + (F.col("at") < F.col("lead")).cast("long")).alias("place")
+    deal = lambda c: sets.select("code", "size", "lead", c, F.explode("slots").alias("slot")).select(
+        "slot", "code", "size", "lead", F.posexplode(c).alias("at", "shingle")
+    ).select(place, "code", key)
+    slot = F.pmod(F.floor(F.col("place") / 2), F.lit(_SLOTS)).cast("int").alias("slot")
+    own = F.floor(F.col("place") / (2 * _SLOTS))
     mark = F.bit_xor(F.xxhash64("code"))
     by = Window.partitionBy("key")
-    rare = deal("prefix").withColumn("n", F.count(F.lit(1)).over(by)).withColumn("sign", mark.over(by)).where("n > 1")
+    ordered = by.orderBy("size", "code")
+    leads = F.pmod("place", F.lit(2)) == 1
+    near = lambda least, most: F.coalesce(least >= most * similarity - 1e-6, F.lit(False))
+    rare = deal("prefix").withColumn("size", own).withColumn("after", F.lead("size").over(ordered))
+    before = F.last(F.when(leads, F.col("size")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    rare = rare.withColumn("before", before)
+    rare = rare.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("sign", mark.over(by))
+    rare = rare.where(near(F.col("before"), F.col("size")) | (leads & near(F.col("size"), F.col("after"))))
     common = deal("common")
     told = materialise(common.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark.alias("sign")))
     total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     common = join_counted(common, told.withColumn("many", F.col("n")), "key", total).where("many > 1")
-    sign = lambda n: F.xxhash64("slot", "sign", n).alias("key")
-    shared = rare.select("slot", sign("n"), "code").unionAll(common.select("slot", sign("many"), "code")).distinct()
+    sign = lambda n: F.xxhash64(slot, "sign", n).alias("key")
+    shared = rare.select(slot, sign("n"), "code").unionAll(common.select(slot, sign("many"), "code")).distinct()
     prints = sets.select("code", F.explode(F.arrays_zip("slots", "parities")).alias("p"))
     prints = prints.select("code", F.col("p.slots").alias("slot"), F.col("p.parities").alias("fp"))
     met = materialise(shared.join(prints, ["code", "slot"]).select("slot", "key", "fp", F.col("code").alias("rep")))
     return link_buckets(met, _linker(similarity, 1 << 15, link_parities), most, every)
 
 
-_PREFIX_SPEC = "doc_id long, digest binary, code long, slots array<int>, parities array<binary>, common array<long>, prefix array<long>"
+_PREFIX_SPEC = "doc_id long, digest binary, code long, size long, lead long, slots array<int>, parities array<binary>, common array<long>, prefix array<long>"
 
 
 def _prefixes(size: int, similarity: float, counts: np.ndarray):
     long, many = pa.int64(), pa.list_(pa.int64())
     schema = pa.schema(
         [
-            ("doc_id", long), ("digest", pa.binary()), ("code", long), ("slots", pa.list_(pa.int32())),
+            ("doc_id", long), ("digest", pa.binary()), ("code", long), ("size", long), ("lead", long), ("slots", pa.list_(pa.int32())),
             ("parities", pa.list_(pa.binary())), ("common", many), ("prefix", many),
         ]
     )
@@ -575,7 +597,7 @@ def _prefixes(size: int, similarity: float, counts: np.ndarray):
                 digest = digest_of(hashes)
                 code = int.from_bytes(digest[:8], "little", signed=True)
                 if digest in told:
-                    yield ident, digest, code, [], [], [], []
+                    yield ident, digest, code, len(hashes), 0, [], [], [], []
                     continue
                 if len(told) >= 1 << 18:
                     told.clear()
@@ -583,7 +605,8 @@ def _prefixes(size: int, similarity: float, counts: np.ndarray):
                 first = prefix(hashes, similarity, counts)
                 common = counts[first & np.uint64(PLACES - 1)] >= COMMON
                 yield (
-                    ident, digest, code, *parities(hashes, similarity), first[common].view(np.int64), first[~common].view(np.int64),
+                    ident, digest, code, len(hashes), int((~common[: lead(len(hashes), similarity)]).sum()),
+                    *parities(hashes, similarity), first[common].view(np.int64), first[~common].view(np.int64),
                 )
 
         yield from batches(records(), schema, 512)
