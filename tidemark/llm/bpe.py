@@ -43,7 +43,7 @@ def byte_symbols() -> list[str]:
 class Codec:
     """Encoder and decoder for a vocabulary file in JSON (byte-level BPE, no normaliser)."""
 
-    def __init__(self, path: str, held: int = 300_000) -> None:
+    def __init__(self, path: str, held: int = 200_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -97,7 +98,23 @@ def ship(spark: SparkSession) -> None:
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package present on the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_tidied(fn), schema)
+
+
+def _tidied(fn: Callable) -> Callable:
+    """``fn``, which gives the memory it freed back to the system at its end: a worker that waits for its
+    next task should hold no more than what it keeps on purpose."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+
+    return run
 
 
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
