@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import common, simhash
 
 
 def pair(rng, replaced, words=204):
@@ -114,6 +114,15 @@ def test_leads_lose_no_pair(spark):
     assert len(pairs) >= 150 and all(i in found and found[i] == found.get(j) for i, j in pairs)
 
 
+@pytest.mark.parametrize("most", [0, 2])
+def test_without(spark, most):
+    """Ids sent to the rows, or met in a shuffled join: the same rows stay, those without an id among them."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (4, None)], "doc_id long, text string")
+    gone = spark.createDataFrame([(2,), (9,)], "doc_id long")
+    out = common.without(docs, gone, "doc_id", most)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.where("doc_id IS NULL OR doc_id <> 2").collect()))
+
+
 def brute(fps, radius):
     root = list(range(len(fps)))
     for i in range(len(fps)):

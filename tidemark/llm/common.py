@@ -163,6 +163,17 @@ def join_counted(many: DataFrame, one: DataFrame, key: str, total: int) -> DataF
     return rest.join(cold, key).unionByName(many.join(F.broadcast(hot), key))
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (one column of that name, each once); a null id stays.
+
+    Up to ``most`` ids, 16 MB, are sent to the rows where they lie, so that texts are not shuffled; more
+    meet the rows in a shuffled join.
+    """
+    ids = materialise(ids)
+    few = ids.count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star steps.
 

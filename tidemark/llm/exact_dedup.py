@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, batches, join_counted, materialise, rows
+from tidemark.llm.common import arrow_map, batches, join_counted, materialise, rows, without
 
 _DROP = b" \t\n\x0b\x0c\r"
 
@@ -287,12 +287,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns.
 
     Rows are named by id: a row without one cannot be named and stays, and of rows that repeat an id
-    with an equal text one stays.  Only the ids that go are joined to the rows, so that Spark can send
-    them to the rows where they are few.
+    with an equal text one stays.  Only the ids that go are joined to the rows (:func:`without`).
     """
     found = materialise(exact_dedup(docs, id_col, text_col, **options))
     gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    out = without(docs, gone, id_col)
     again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     again = again.select(F.col("doc_id").alias(id_col))
     if again.isEmpty():

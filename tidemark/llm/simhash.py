@@ -57,7 +57,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import arrow_map, batches, components, join_counted, materialise, rows, temporary
+from tidemark.llm.common import arrow_map, batches, components, join_counted, materialise, rows, temporary, without
 
 SEED = 42
 BITS = 64
@@ -753,7 +753,7 @@ def keep_first(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> Dat
     A row without an id cannot be named and stays.
     """
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return without(docs, gone, id_col)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
