@@ -24,8 +24,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingle sets similar to 0.8."""
-    return simhash.keep_first(simhash.similar_dedup(docs, size=5, similarity=0.8), docs)
+    """One document of each group of near copies: SimHash fingerprints of op1's operator within 4 bits, or
+    five-word shingle sets similar to 0.8."""
+    return simhash.keep_first(simhash.near_copies(docs, size=5, similarity=0.8), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

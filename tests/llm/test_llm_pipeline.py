@@ -4,11 +4,12 @@ import os
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, mixing, quality, registry
+from tidemark.llm import bpe, mixing, quality, registry, simhash
 from tidemark.llm.common import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +84,36 @@ def test_stages(spark):
     assert Counter((r.doc_id, r.n_tokens) for r in last.collect()) == want and ids[4] == ids[3]
 
 
+def test_near_copies_of_either_kind(spark):
+    """Near by SimHash bits alone, near by shingle sets alone, a chain of both, and a text of its own."""
+    rng = np.random.default_rng(23)
+    swap = lambda words, at: [f"v{rng.integers(1 << 40)}" if k in at else w for k, w in enumerate(words)]
+    shingles = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    def bits(a, b):
+        return bin(simhash.fingerprint(" ".join(a).encode()) ^ simhash.fingerprint(" ".join(b).encode())).count("1")
+
+    def alike(near_bits):
+        """A text, and one that is near by bits and not by sets, or the other way round."""
+        places = {30, 60, 90, 120, 150, 180} if near_bits else {60, 150}
+        a = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+        while True:
+            b = swap(a, places)
+            if (bits(a, b) <= 4) == near_bits == (jaccard(shingles(a), shingles(b)) < 0.8):
+                return a, b
+            if not near_bits:
+                a = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+
+    a, b = alike(True)
+    while True:
+        c = swap(b, {15, 45, 105})  # near b by sets alone, and far from a
+        if bits(b, c) > 4 and bits(a, c) > 4 and jaccard(shingles(b), shingles(c)) >= 0.8 > jaccard(shingles(a), shingles(c)):
+            break
+    pairs = [a, b, c, *alike(True), *alike(False), [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(pairs)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 3, 5, 7]
+
+
 def test_quality_on_held_out_labels(spark):
     """The classifier sees half of the labels; the other half tells how well it parts them."""
     sf = "/root/testdata/sf0.1"

@@ -23,7 +23,8 @@ share some of its rows; what that leaves unlinked, and only that, then meets the
 
 :func:`near_dedup` links by a number of bits and finds every such pair.  :func:`similar_dedup` links by
 the Jaccard similarity of the shingle sets, and finds every such pair too.  Majority bits cannot promise
-that at 0.8, where some 39 of 256 differ and more by chance, so fingerprints are linear there:
+that at 0.8, where some 39 of 256 differ and more by chance, so fingerprints are linear there.
+:func:`near_copies` makes components of both kinds of links; :func:`similar_dedup` works as follows:
 
 * *Partition.*  Two sets of similarity ``s`` share one of the first ``m - ceil(s * m) + 1`` of their ``m``
   shingles in any order of all shingles, so every pair meets under a shingle of its prefixes.  The order is
@@ -747,6 +748,19 @@ def similar_dedup(
     return out
 
 
+def near_copies(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, component_id`` of every id that has a near copy: the components of all links of
+    :func:`near_dedup` and of :func:`similar_dedup` together, so that a chain may hold both kinds."""
+    with temporary() as keep:
+        found = near_dedup(docs, id_col=id_col, text_col=text_col).select("doc_id", "component_id")
+        found = found.unionAll(similar_dedup(docs, size, similarity, id_col, text_col)).where("doc_id <> component_id")
+        groups = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        keep.append(groups)
+    return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
 def keep_first(found: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the smallest id.
 
