@@ -3,10 +3,11 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, embedding_dedup, exact_dedup, language_id, pii
+from tidemark.llm import chat, common, embedding_dedup, exact_dedup, language_id, pii
 from tidemark.llm.common import materialise
 
 
@@ -94,3 +95,15 @@ def test_lending_decides_about_a_round(spark):
     big = frame.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size"))
     worth = embedding_dedup._worth(frame, big, 0.2, 64)
     assert [r.label for r in worth.collect()] == ["b"]
+
+
+def test_long_texts_come_in_small_batches(spark):
+    """Texts of 1 MB: no task is handed tens of megabytes at once, and none is lost."""
+    docs = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.nbytes]), pa.array([part.num_rows])], names=["size", "n"])
+
+    got = common.arrow_map(docs, sizes, "size long, n long").collect()
+    assert sum(r.n for r in got) == 40 and max(r.size for r in got) <= 6 << 20

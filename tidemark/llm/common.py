@@ -95,8 +95,20 @@ def ship(spark: SparkSession) -> None:
     context._tidemark_shipped = True
 
 
+#: Bytes after which a batch for a worker ends.  Spark's own 64 MB is held by each task's writer, grown by
+#: doubling, and its pieces stay with the executor's native allocator.
+BATCH_BYTES = 4 << 20
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package present on the workers."""
+    """``df.mapInArrow`` with this package present on the workers.
+
+    Batches end at about ``BATCH_BYTES``, for the session's other Arrow batches too, unless
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` was set by its owner.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
     ship(df.sparkSession)
     return df.mapInArrow(_tidied(fn), schema)
 
