@@ -136,6 +136,37 @@ def test_greedy_sharding(spark):
     assert [s for _, s in got(op.shard_greedy(rows, 100, F.lit(40)))] == [0, 0, 1, 1, 1, 2, 2]
 
 
+@pytest.mark.parametrize("size", [1, 60, 1000, 10**9])
+@pytest.mark.parametrize("unknown", [None, 2500])
+def test_greedy_sharding_in_ranges(spark, size, unknown):
+    # Ties go by weight, null keys come last; from an unknown weight on no shard opens.
+    rows = [(f"k{i:05}", i * 7919 % 61) for i in range(4000)] + [("k00009", 5), ("k00010", 0), ("k00011", 3000), (None, 50), (None, 2000)]
+    if unknown is not None:
+        rows[unknown] = (rows[unknown][0], None)
+    want, shard, held = [], 0, 0
+    parts = -(-sum(w or 0 for _, w in rows) // size)
+    for k, w in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1] is not None, r[1])):
+        held = None if held is None or w is None else held + w
+        if held is not None and held >= size:
+            shard, held = shard + 1, 0
+        want.append((k, min(shard, parts - 1)))
+    out = op.shard_greedy(spark.createDataFrame(rows, "key string, w int").repartition(5), size, F.col("w"))
+    assert out.dtypes == [("key", "string"), ("shard", "int")]
+    by = lambda r: (r[0] is None, r[0] or "", r[1])
+    assert sorted(map(tuple, out.collect()), key=by) == sorted(want, key=by)
+    # No task holds all rows.
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_sharding_of_little(spark):
+    none = spark.createDataFrame([], "key long, w int")
+    assert op.shard_greedy(none, 5, F.col("w")).isEmpty()
+    nulls = spark.createDataFrame([(None, None), (None, 7), (2**60 + 1, 7)], "key long, w int")
+    assert got(op.shard_greedy(nulls, 5, F.col("w"))) == [(None, 1), (None, 1), (2**60 + 1, 1)]
+    with pytest.raises(NotSupported):
+        op.shard_greedy(nulls, 5, F.col("w") * -1)
+
+
 def test_runs_and_edits(spark):
     spec = "run_id long, level int, lo int, hi int, n long, bytes long, version long, action string"
     edits = log(

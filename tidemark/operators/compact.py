@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.errors import NotSupported
 from tidemark.operators.read import Bound
 from tidemark.operators.resolve import resolve
+from tidemark.operators.write import carried
 
 #: Runs that a level may hold is FIRST * GROWTH ** level.
 FIRST, GROWTH, LEVELS = 4, 10, 4
@@ -61,33 +63,50 @@ def merge_anti(upper: DataFrame, lower: DataFrame, keys: str | list[str] = "key"
 
 
 def shard_greedy(rows: DataFrame, size: int, weight: Column, order: str = "key") -> DataFrame:
-    """Exact greedy sharding of sorted rows into ``ceil(total / size)`` shards.
+    """Exact greedy sharding of rows in the order of ``order`` into ``ceil(total / size)`` shards.
 
     A row that brings a shard to ``size`` opens the next one and is not counted there; the last
-    shard takes the rest.  The rule is a fold over all rows in order, so it is made for tables that fit
-    one task, such as a manifest; data runs are cut by ``repartitionByRange`` and a row limit a file.
-    """
-    one = rows.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), weight.cast("long").alias("_w")))).alias("r"),
-        F.ceil(F.sum(weight) / F.lit(size)).cast("int").alias("_parts"),
-    )
-    start = F.struct(
-        F.lit(0).cast("int").alias("id"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("ids")
-    )
+    shard takes the rest.  What is held falls to 0 at the same rows as in a batch by weight, so ranges of the
+    order are solved in parallel (:func:`~tidemark.operators.write.carried`) and each numbers its own rows.
 
-    def step(acc: Column, row: Column) -> Column:
-        full = acc["held"] + row["_w"] >= F.lit(size)
-        here = F.when(full, acc["id"] + 1).otherwise(acc["id"])
-        return F.struct(
-            here.alias("id"),
-            F.when(full, F.lit(0).cast("long")).otherwise(acc["held"] + row["_w"]).alias("held"),
-            F.concat(acc["ids"], F.array(here)).alias("ids"),
-        )
-
-    folded = one.withColumn("ids", F.aggregate("r", start, step, lambda acc: acc["ids"]))
-    return folded.select("_parts", F.explode(F.arrays_zip("r", "ids")).alias("z")).select(
-        F.col("z.r._o").alias(order), F.least(F.col("z.ids"), F.col("_parts") - 1).alias("shard")
-    )
+    Null orders come last, equal orders by weight.  A null weight makes what is held unknown: no shard opens
+    at it or after it.  Negative weights are not supported.
+    """
+    if size < 1:
+        raise NotSupported(f"a shard size of {size}")
+    weighed = rows.select(F.col(order).alias("_o"), weight.alias("_raw"), weight.cast("long").alias("weight"))
+    unknown = F.col("weight").isNull()
+    parts, least, nulls, first = weighed.agg(
+        F.ceil(F.sum("_raw") / F.lit(size)).cast("int"), F.min("weight"), F.count_if(unknown), F.min(F.when(unknown, F.col("_o")))
+    ).head()
+    if least is not None and least < 0:
+        raise NotSupported("negative weights")
+    weighed = weighed.drop("_raw")
+    if nulls:
+        past = F.col("_o").isNull()
+        if first is not None:
+            past |= F.col("_o") >= F.lit(bytes(first) if isinstance(first, bytearray) else first)
+        weighed = weighed.withColumn("weight", F.when(past, 0).otherwise(F.col("weight")))
+    dealt, at = carried(weighed, size)
+    kind = weighed.schema["_o"].dataType.simpleString()
+    shards = dealt.groupBy("_p").applyInPandas(_number(size, at), f"_o {kind}, shard int")
+    shard = F.col("shard") if parts is None else F.least("shard", F.lit(parts - 1))
+    return shards.select(F.col("_o").alias(order), shard.alias("shard"))
+
+
+def _number(size: int, at: dict[int, tuple[int, int]]):
+    def run(rows):
+        import numpy as np
+
+        carry, before = at[int(rows["_p"].iloc[0])]
+        rows = rows.sort_values(["_o", "weight"])
+        total = rows["weight"].to_numpy(np.int64).cumsum()
+        opens, base = np.zeros(len(total), np.int64), -carry
+        while (end := int(np.searchsorted(total, base + size))) < len(total):
+            opens[end], base = 1, int(total[end])
+        return rows[["_o"]].assign(shard=before + opens.cumsum())
+
+    return run
 
 
 def seek_misses(probes: DataFrame, most: int = 100) -> DataFrame:

@@ -76,18 +76,31 @@ def flush_points(log: DataFrame, threshold: int, weight: Column | None = None, o
 
 
 def cut_by_weight(rows: DataFrame, threshold: int) -> DataFrame:
-    """``batch, rows, weight, first_seq, last_seq`` of rows ``(_o, weight)`` with distinct ``_o``.
+    """``batch, rows, weight, first_seq, last_seq`` of rows ``(_o, weight)`` with distinct ``_o``; see :func:`carried`."""
+    dealt, at = carried(rows, threshold)
+    kind = rows.schema["_o"].dataType.simpleString()
+    spec = f"batch long, rows long, weight long, first_seq {kind}, last_seq {kind}"
+    parts = dealt.groupBy("_p").applyInPandas(_cut(threshold, at), spec)
+    return parts.groupBy("batch").agg(
+        F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq")
+    )
+
+
+def carried(rows: DataFrame, threshold: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """Rows ``(_o, weight)`` with ``_p``, the range of the order they lie in, and for each range the weight
+    that is carried into it and the number of cuts before it.  No weight is null or negative.
 
     Where a batch ends depends on where the one before did.  Ranges of the order are therefore solved for
     every weight that may be carried into them: the first cut of a range is at one of its first rows,
     and cuts after it follow, most of them the same whatever came before.  What is carried out, as a step
     function of what comes in, is a few rows a range; the driver folds these in order, and each range
-    then makes its cuts.  Ranges hold 64 batches or more, so that steps are few.
+    then makes its cuts.  Ranges hold 64 batches or more, so that steps are few.  Null orders come last,
+    equal orders by weight.
     """
     total = rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
     most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = bounds(rows, "_o", max(1, min(most, total // (64 * threshold))))
-    dealt = rows.withColumn("_p", range_of(F.col("_o"), cuts))
+    dealt = rows.withColumn("_p", F.when(F.col("_o").isNull(), len(cuts) + 1).otherwise(range_of(F.col("_o"), cuts)))
     told = dealt.groupBy("_p").applyInPandas(_steps(threshold), "_p int, least long, cuts long, carried long").collect()
     steps: dict[int, list] = {}
     for r in told:
@@ -98,12 +111,7 @@ def cut_by_weight(rows: DataFrame, threshold: int) -> DataFrame:
         # Steps go by the least weight carried in; the first is for no cut at all and adds to it.
         least, n, out = max(s for s in steps[p] if s[0] <= carry)
         carry, batch = (carry + out, batch) if n == 0 else (out, batch + n)
-    kind = rows.schema["_o"].dataType.simpleString()
-    spec = f"batch long, rows long, weight long, first_seq {kind}, last_seq {kind}"
-    parts = dealt.groupBy("_p").applyInPandas(_cut(threshold, at), spec)
-    return parts.groupBy("batch").agg(
-        F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq")
-    )
+    return dealt, at
 
 
 def _steps(threshold: int):
@@ -111,7 +119,7 @@ def _steps(threshold: int):
         import numpy as np
         import pandas as pd
 
-        total = rows.sort_values("_o")["weight"].to_numpy(np.int64).cumsum()
+        total = rows.sort_values(["_o", "weight"])["weight"].to_numpy(np.int64).cumsum()
         n = len(total)
         after = np.searchsorted(total, total + threshold)  # the cut that follows a cut at each row
         last, many = np.arange(n + 1), np.zeros(n + 1, np.int64)
@@ -139,7 +147,7 @@ def _cut(threshold: int, at: dict[int, tuple[int, int]]):
         import pandas as pd
 
         carry, batch = at[int(rows["_p"].iloc[0])]
-        rows = rows.sort_values("_o")
+        rows = rows.sort_values(["_o", "weight"])
         order, total = rows["_o"].to_numpy(), rows["weight"].to_numpy(np.int64).cumsum()
         out, begin, base = [], 0, -carry
         while begin < len(total):
